@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup as _exact
+from tessera.llm import minhash as _minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
