@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers as _tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import bpe as _bpe
+from tessera.llm import decontaminate as _leaks
 from tessera.llm import exact_dedup as _exact
 from tessera.llm import minhash as _minhash
 
@@ -20,9 +23,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.bpe_digests(_table(spark, sf_dir, "documents"), _tokenizers.path("byte_bpe_multi_50k.tiktoken"), _tokenizers.PATTERN)
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": _exact.SQL}
+    return {"op2_decontaminate": _leaks.SQL, "op9_exact_dedup": _exact.SQL}
