@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers as _tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe as _bpe
 from tessera.llm import decontaminate as _leaks
 from tessera.llm import exact_dedup as _exact
+from tessera.llm import lm_score as _lm
 from tessera.llm import minhash as _minhash
+from tessera.llm import suffix_dedup as _passages
+from tessera.llm import token_counts as _tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.self_scores(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words, its repeated passages and the words in them."""
+    found = _passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), "n_repeated", F.to_json("spans").alias("spans"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _tokens.piece_vocabulary(_tokenizers.path("piece_bpe_32k.model"))
+    return _tokens.token_counts(_table(spark, sf_dir, "documents"), pieces)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
