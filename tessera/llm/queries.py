@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe as _bpe
 from tessera.llm import decontaminate as _leaks
 from tessera.llm import exact_dedup as _exact
+from tessera.llm import html_text as _html
+from tessera.llm import language_id as _language
 from tessera.llm import lm_score as _lm
 from tessera.llm import minhash as _minhash
+from tessera.llm import quality as _quality
 from tessera.llm import suffix_dedup as _passages
 from tessera.llm import token_counts as _tokens
 
@@ -35,6 +38,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages: the html element's lang, the host of the url and its last label."""
+    pages = _html.extract_text(_table(spark, sf_dir, "pages"))
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-z]{2})", 1)
+    host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
+    pages = pages.select("page_id", "text", F.nullif(declared, F.lit("")).alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"))
+    return _language.identify(pages, "page_id", "text", "declared", "host", "suffix")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _html.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.self_scores(_table(spark, sf_dir, "documents"))
 
