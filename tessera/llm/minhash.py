@@ -8,7 +8,8 @@
    its similarity reaches the threshold, given the agreements so far, is under MISS. Survivors are compared
    on their full shingle sets.
 4. Links are contracted to components. Buckets that still hold several components are compared in blocks,
-   each pair of different components, so that no candidate is lost; survivors are verified as before.
+   each pair of different components, the most alike first, so that no candidate is lost; survivors are
+   verified as before.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 #: Signature values compared at a time, and the chance of giving up a pair that reaches the threshold.
 BATCH, MISS = 16, 1e-5
+#: Partners of a row that are verified before the rest of a bucket with several components.
+BEST = 2
 #: Rows of a block of a bucket with several components.
 BLOCK = 4096
 
@@ -111,7 +114,7 @@ def signatures(column: pa.Array) -> np.ndarray:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(bucket, id): a row for each band of each signature."""
+    """(bucket, id): a row for each band of each signature; the low bits of a bucket are its band."""
 
     def run(batch):
         sig = signatures(batch.column("sig")).astype(np.uint64)
@@ -120,7 +123,7 @@ def bands(reps: DataFrame) -> DataFrame:
             key = np.zeros(part.shape[:2], np.uint64)
             for r in range(ROWS):
                 key = (key << np.uint64(16)) | part[:, :, r]
-            key = C.mix(key) * np.uint64(2 * BANDS + 1) + np.arange(BANDS, dtype=np.uint64)
+            key = (C.mix(key) & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype=np.uint64)
             ids = np.repeat(batch.column("id").slice(at, len(part)).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(C.signed(key.ravel())), pa.array(ids)], names=["bucket", "id"])
 
@@ -180,11 +183,8 @@ def shingle_set(text: str) -> set:
     return set(zip(*(w[i:] for i in range(SHINGLE)), strict=False))
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold; docs has (id, text)."""
-    pairs = C.materialise(pairs)
-    used = pairs.select("id").union(pairs.select("other")).distinct()
-    texts = C.materialise(docs.join(used, "id", "left_semi"))
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold; texts has (id, text)."""
     both = pairs.join(texts.withColumnRenamed("text", "text_a"), "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("text_b")), "other")
 
     def run(batch):
@@ -201,33 +201,73 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return C.materialise(C.map_batches(both.select("id", "other", "text_a", "text_b"), run, "id long, other long"))
 
 
-def block_pairs(members: DataFrame, reps: DataFrame, block: int) -> DataFrame:
-    """Plausible pairs of different components within each bucket, block by block.
+class Forest:
+    """Union-find over the components of one group."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def block_pairs(members: DataFrame, reps: DataFrame, block: int, best: int, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs (id, other) of different components within each bucket, block by block.
 
     members: (bucket, id, comp). A bucket of n rows is cut into ceil(n / block) blocks by a hash of the
-    id, and each pair of blocks is one group of at most about 2 * block rows.
+    id, and each pair of blocks is one group of at most about 2 * block rows. A pair is looked at in the
+    first band that it shares only. With best: the so many most alike plausible partners of each row.
+    Else every plausible pair is compared on its shingle hashes, and the links that join components are
+    returned; texts has (id, text).
     """
     count = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = members.join(count, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "id", "comp")
     rows = rows.join(reps.select("id", "n_shingles", "sig"), "id")
+    if exact := texts is not None:
+        rows = rows.join(texts, "id")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         sig, ids = signatures(table.column("sig")), table.column("id").to_numpy()
         comp, n, mine = (table.column(c).to_numpy() for c in ("comp", "n_shingles", "mine"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        i, j, band = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("bucket")[0].as_py() % BANDS
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & sizes_allow(n[y], n[x])]
-            if len(y):
-                y = y[plausible(np.broadcast_to(sig[x], (len(y), PERMUTATIONS)), sig[y])]
-                found.append(np.column_stack([np.full(len(y), ids[x]), ids[y]]))
-        all_pairs = np.concatenate(found)
-        return pa.table({"id": all_pairs.max(1) if len(all_pairs) else np.zeros(0, np.int64), "other": all_pairs.min(1) if len(all_pairs) else np.zeros(0, np.int64)})
+        parts = sig.view(np.uint64)
+        sets: dict[int, np.ndarray] = {}
+        forest, found = Forest(), [np.zeros((0, 2), np.int64)]
+        if exact:
+            buf, offs = C.text_bytes(table.column("text"))
+            for lo, hi in C.pieces(offs):
+                row, sh = shingles(buf, offs[lo : hi + 1])
+                edges = np.searchsorted(row, np.arange(hi - lo + 1))
+                sets.update({lo + k: np.unique(sh[edges[k] : edges[k + 1]]) for k in range(hi - lo)})
+        sides = [(left, right)] if i == j or not best else [(left, right), (right, left)]
+        for own, others in sides:
+            for x in own:
+                y = others[others != x] if best else others[others > x] if i == j else others
+                y = y[(comp[y] != comp[x]) & sizes_allow(n[y], n[x])]
+                if band and len(y):
+                    y = y[~(parts[y, :band] == parts[x, :band]).any(1)]
+                if len(y):
+                    y = y[plausible(np.broadcast_to(sig[x], (len(y), PERMUTATIONS)), sig[y])]
+                if best:
+                    y = y[np.argsort((sig[y] != sig[x]).sum(1), kind="stable")[:best]]
+                    found.append(np.column_stack([np.full(len(y), ids[x]), ids[y]]))
+                    continue
+                for z in y:
+                    if forest.root(comp[x]) != forest.root(comp[z]):
+                        common = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                        if DEN * common >= NUM * (len(sets[x]) + len(sets[z]) - common):
+                            forest.join(comp[x], comp[z])
+                            found.append(np.array([[ids[x], ids[z]]]))
+        pairs = np.concatenate(found)
+        return pa.table({"id": np.maximum(pairs[:, 0], pairs[:, 1]), "other": np.minimum(pairs[:, 0], pairs[:, 1])})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "id long, other long").distinct()
 
@@ -249,19 +289,30 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = C.materialise(banded.join(buckets.select("bucket", "other"), "bucket"))
     stars = members.filter("id <> other").select("id", "other").distinct()
-    texts = docs.filter("id is not null")
+    # merged at every size: the hint keeps the plan from turning with the number of members
+    shared = members.select("id").distinct().hint("merge")
+    texts = C.materialise(docs.filter("id is not null").join(shared, "id", "left_semi"))
     links = verify(prune(stars, reps), texts)
     comps = C.materialise(connected_components(links, "id", "other"))
 
-    # buckets that one component doesn't cover
-    placed = members.select("bucket", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.withColumn("comp", F.coalesce("component", "id")).select("bucket", "id", "comp")
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    rest = C.materialise(placed.join(open_.select("bucket"), "bucket"))
-    more = verify(block_pairs(rest, reps, block).join(stars, ["id", "other"], "left_anti"), texts)
-    if not more.isEmpty():
-        joined = links.select("id", "other").unionByName(more)
-        comps = C.materialise(connected_components(joined, "id", "other"))
+    def open_buckets() -> DataFrame:
+        """The members of the buckets that one component doesn't cover."""
+        placed = members.select("bucket", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
+        placed = placed.withColumn("comp", F.coalesce("component", "id")).select("bucket", "id", "comp")
+        several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        return C.materialise(placed.join(several.select("bucket"), "bucket"))
+
+    # each row's most alike partners first, as their links leave few components apart
+    near = C.materialise(block_pairs(open_buckets(), reps, block, BEST))
+    links = links.unionByName(verify(near.join(stars, ["id", "other"], "left_anti"), texts))
+    comps = C.materialise(connected_components(links, "id", "other"))
+    # then all plausible pairs that are left; every row that has one is in near
+    paired = near.select("id").union(near.select("other")).distinct()
+    rest = open_buckets().join(paired, "id", "left_semi")
+    left = C.materialise(block_pairs(rest, reps, block, 0, texts))
+    if not left.isEmpty():
+        links = links.unionByName(verify(left, texts))
+        comps = C.materialise(connected_components(links, "id", "other"))
 
     found = classes.filter("copies > 1").select("words", "rep")
     out = signed.select("id", "n_shingles", "words").join(found, "words", "left").withColumn("rep", F.coalesce("rep", "id"))
