@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from tessera.plans import core
+
+MODULES = [core]
 
 
 def queries() -> dict:
@@ -22,4 +24,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return core.flagship(spark, sf_dir)
