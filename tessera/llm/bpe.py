@@ -8,7 +8,7 @@ ended with, the tokens outside can't change; until then the window is doubled.
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +28,24 @@ class Bpe:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.bytes = {i: token for token, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.none = max(self.ranks.values(), default=0) + 1
+        self.singles = [bytes([a]) for a in range(256)]
+        self.twos = [[self.ranks.get(bytes([a, b]), self.none) for b in range(256)] for a in range(256)]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge neighbours of the lowest rank, leftmost first, until none can be."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank, none, singles, twos = self.ranks.get, self.none, self.singles, self.twos
+        parts = [singles[a] for a in piece]
+        pairs = [twos[a][b] for a, b in pairwise(piece)]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def tree(self, piece: bytes) -> list[int]:
