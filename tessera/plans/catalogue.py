@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import core
+from tessera.plans import core, states
 
-MODULES = [core]
+MODULES = [core, states]
 
 
 def queries() -> dict:

@@ -206,7 +206,7 @@ def rows_of(columns, data):
     return sorted(tuple(shown(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if not n.startswith(("op", "pipeline"))])
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if not (n[:2] == "op" and n[2].isdigit() or n == "pipeline")])
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
