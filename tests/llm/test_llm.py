@@ -200,6 +200,15 @@ def test_repeated_passages(spark):
     assert suffix_dedup.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [1, 3, 10**6])
+def test_group_sizes_are_the_same_for_hot_and_other_keys(spark, monkeypatch, bound):
+    monkeypatch.setattr(suffix_dedup, "HOT_KEYS", bound)
+    keys = [7] * 20 + [8, 9, 9, 10, 10, 10, -1]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key long")
+    got = suffix_dedup.sized(rows).select("id", "n").collect()
+    assert sorted(map(tuple, got)) == [(i, keys.count(k)) for i, k in enumerate(keys) if keys.count(k) > 1]
+
+
 def test_token_counts(spark):
     pieces = token_counts.piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     known, most = set(pieces), max(map(len, pieces))
