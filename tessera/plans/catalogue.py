@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import core, states
+from tessera.plans import casework, core, states
 
-MODULES = [core, states]
+MODULES = [casework, core, states]
 
 
 def queries() -> dict:

@@ -11,15 +11,23 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str):
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table, *columns: spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns))
+def collector(queries: dict, oracle: dict[str, str]):
+    """A decorator that registers a function of a table reader as a query beside its SQL."""
 
-        QUERIES[name], ORACLE[name] = run, sql
-        return f
+    def query(name: str, sql: str):
+        def add(f):
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return f(lambda table, *columns: spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns))
 
-    return add
+            queries[name], oracle[name] = run, sql
+            return f
+
+        return add
+
+    return query
+
+
+query = collector(QUERIES, ORACLE)
 
 
 STATUS = "CASE o_orderstatus WHEN 'O' THEN 'ONGOING' WHEN 'F' THEN 'COMPLETED' ELSE 'PROPOSED' END"
