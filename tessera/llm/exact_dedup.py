@@ -58,10 +58,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns; of each group of equal texts the largest id."""
-    drop = exact_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_drop")).distinct()
-    once = df.dropDuplicates([id_col])
-    return once.join(drop, F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
+    """The rows of df that stay, with all their columns; of each group of equal texts the largest id.
+
+    A row is known by its id and its text's digest, so an id that stands for several texts, or no id, keeps
+    each of them; of rows that agree in both, one stays.
+    """
+    lost = exact_groups(df, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("keep_id")))
+    drop = lost.select(F.col(id_col).alias("_drop"), F.col("text_sha256").alias("_drop_sha")).distinct()
+    once = df.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "_sha"])
+    return once.join(drop, F.col(id_col).eqNullSafe(F.col("_drop")) & (F.col("_sha") == F.col("_drop_sha")), "left_anti").drop("_sha")
 
 
 SQL = """

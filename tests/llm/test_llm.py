@@ -64,6 +64,14 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_dedup(docs(spark, texts)).count() == len(groups)
 
 
+def test_exact_dedup_of_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(1, "a"), (1, "A"), (3, "b"), (5, "b"), (5, "b"), (7, "c"), (7, "d"), (None, "e"), (None, "f"), (None, "f"), (None, "b"), (None, None), (9, "a" * 9)]
+    out = exact_dedup.exact_dedup(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC))
+    assert out.columns == ["doc_id", "text", "kept"]
+    got = collections.Counter((str(r.doc_id), (r.text or "").lower()) for r in out.collect())
+    assert got == collections.Counter([("1", "a"), ("5", "b"), ("7", "c"), ("7", "d"), ("None", "e"), ("None", "f"), ("None", ""), ("9", "a" * 9)])
+
+
 def near_by_brute_force(texts):
     sets = {i: minhash.shingle_set(t) for i, t in texts.items()}
     up = {i: i for i in texts}
