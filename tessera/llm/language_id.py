@@ -2,8 +2,8 @@
 
 For each text and language: the likelihood of its byte trigrams, whether the declared language says it, how
 often the address suffix says it, and a prior of the host, smoothed towards its suffix and that towards
-all rows. Trigram tables are fitted on a bounded sample of rows by their declared language; host and
-suffix counts are grouped aggregations over all rows.
+all rows. Languages are counted over all rows; the trigram table of each is fitted on a bounded sample of
+its distinct texts. Host and suffix counts are grouped aggregations over all rows.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
-#: Rows that trigram tables are fitted on, about; hashed trigrams; trigrams of a text that count as evidence.
+#: Distinct texts that the trigram table of each language is fitted on, about, or all that it has; hashed trigrams; trigrams of a text that count as evidence.
 FIT_ROWS, GRAMS, EVIDENCE = 5000, 1 << 13, 60
+#: Parts that the hashes of texts are dealt into to choose a sample.
+SHARES = 1 << 30
 #: Log likelihood by which a trigram of a text may fall behind noise.
 NOISE = -1.0
 #: How often a declaration is right; rows that a parent's distribution weighs in a smoothed prior.
@@ -35,10 +37,20 @@ def _gram_sums(buf: np.ndarray, offs: np.ndarray):
 
 
 def fit(df: DataFrame, text_col: str, declared_col: str, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each hashed trigram in each; from about fit_rows rows, chosen by hash."""
-    every = max(1, df.count() // fit_rows)
+    """Languages, and the log probability of each hashed trigram in each.
+
+    All declared languages of df count. A language with up to fit_rows distinct texts is fitted on all of them,
+    a larger one on about fit_rows, chosen by hash; copies of a text count once.
+    """
     rows = df.select(F.col(declared_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    if not sizes:
+        return [], np.zeros((0, GRAMS))
+    # the number of texts is an estimate: a language is thinned out only if it surely has more than enough
+    shares = [(r.lang, SHARES if r.n < 1.2 * fit_rows else -(-SHARES * fit_rows // r.n)) for r in sizes]
+    shares = F.broadcast(df.sparkSession.createDataFrame(shares, "lang string, share long"))
+    rows = rows.join(shares, "lang").filter(F.pmod("hash", F.lit(SHARES)) < F.col("share")).select("lang", "text").distinct()
 
     def run(batches):
         for batch in batches:
@@ -80,11 +92,11 @@ def text_evidence(df: DataFrame, langs: list[str], table: np.ndarray) -> DataFra
     return df.mapInArrow(run, f"{kinds}, grams long, logs array<double>")
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id, language, confidence, text_language, accepted) per row.
 
-    A text is accepted if it has letters and, unless it is short, is likelier under its language than noise is. Null and empty texts
-    are not accepted; without any evidence the language is that of the priors. Null hosts, suffixes and
+    A text is accepted if it has letters and, unless it is short, is likelier under its language than noise is, or
+    no table could be fitted for the language it declares. Null and empty texts are not accepted; without any evidence the language is that of the priors. Null hosts, suffixes and
     declarations say nothing. Ties go to the first language by name. Repeated rows give repeated rows; an
     empty table gives an empty table.
     """
@@ -93,7 +105,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.substring(declared_col, 1, 2)).alias("declared"), F.col(host_col).cast("string").alias("host"), suffix.cast("string").alias("suffix"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
     )
-    langs, table = fit(rows, "text", "declared")
+    langs, table = fit(rows, "text", "declared", fit_rows)
     if not langs:
         return rows.select(F.col("id").alias(id_col), *(F.lit(None).cast(t).alias(n) for n, t in (("language", "string"), ("confidence", "double"), ("text_language", "string"))), F.lit(False).alias("accepted"))
     known = C.materialise(text_evidence(rows, langs, table))
@@ -123,7 +135,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     fused = joined.withColumn("post", post).withColumn("top", F.array_max("post"))
     total = F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     at = F.array_position("post", F.col("top")).cast("int")
-    likely = (F.col("grams") < EVIDENCE) | (F.element_at("logs", at) > F.col("grams") * F.lit(NOISE - float(np.log(GRAMS))))
+    untold = F.col("declared").isNotNull() & ~F.array_contains(names, F.col("declared"))
+    likely = (F.col("grams") < EVIDENCE) | untold | (F.element_at("logs", at) > F.col("grams") * F.lit(NOISE - float(np.log(GRAMS))))
     return fused.select(
         F.col("id").alias(id_col),
         F.element_at(names, at).alias("language"),

@@ -156,6 +156,27 @@ def test_language(spark, sf):
     assert language_id.identify(table.limit(0)).count() == 0
 
 
+def test_rare_languages_have_a_table_and_stay(spark):
+    rng = random.Random(9)
+    greek = ["".join(rng.choice("αβγδεζηθ ") for _ in range(600)) for _ in range(3)]
+    rows = [(i, prose(rng, 40), "en", "s") for i in range(600)] + [(600 + i, "hot text " * 9, "fr", "s") for i in range(600)]
+    rows += [(2000 + i, t, "el", "s") for i, t in enumerate(greek)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language_id.fit(table, "text", "lang", fit_rows=40)[0] == ["el", "en", "fr"]
+    got = {r.doc_id: r for r in language_id.identify(table, fit_rows=40).collect()}
+    assert all(got[i].accepted and got[i].language == "el" for i in range(2000, 2003))
+    assert all(r.accepted for r in got.values())
+
+
+def test_texts_of_a_language_without_a_table_are_not_rejected(spark, monkeypatch):
+    rng, fit = random.Random(9), language_id.fit
+    greek = "".join(rng.choice("αβγδεζηθ ") for _ in range(600))
+    table = spark.createDataFrame([(100 + i, prose(rng, 60), "en", "s") for i in range(600)] + [(90, greek, "el", "s"), (91, greek, None, "s")], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(language_id, "fit", lambda df, *a: fit(df.filter("declared = 'en'"), *a))
+    got = {r.doc_id: r.accepted for r in language_id.identify(table).collect()}
+    assert got[90] and not got[91]
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op4_quality(spark, sf).collect()}
