@@ -280,3 +280,12 @@ def test_pipeline(spark, sf):
     hit = decontaminate.contamination_report(source, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("contaminated").select("doc_id").collect()
     assert {r.doc_id for r in out.select("doc_id").collect()} == kept - {r.doc_id for r in hit}
     assert out.filter(F.size("token_ids") == 0).count() == 0
+
+
+def test_pipeline_decodes_what_it_encoded(spark, sf):
+    texts = [t for t in EDGE if t is not None] + ["漢字かな 🙂", None]
+    rows = corpus_pipeline.encode(spark, docs(spark, texts), sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.text == texts[r.doc_id] and r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.token_ids)).encode()).hexdigest()
