@@ -449,6 +449,14 @@ def _(t):
     return library.candidate_strategies(line.select(F.col("l_suppkey").alias("strategy_id"), F.col("l_partkey").alias("concept_id")).distinct(), claims)
 
 
+@query("knw09_candidates_of_all")
+def _(t):
+    """All claims; knw09_candidates looks at every twentieth, as its SQL does."""
+    line = t("lineitem")
+    claims = line.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("claim_id"), F.col("l_partkey").alias("concept_id")).distinct()
+    return library.candidate_strategies(line.select(F.col("l_suppkey").alias("strategy_id"), F.col("l_partkey").alias("concept_id")).distinct(), claims)
+
+
 @query("cur01_headings")
 def _(t):
     marked = F.regexp_replace("text", r"(?m)^(\w+\.)$", "## $1")

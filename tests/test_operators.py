@@ -220,3 +220,21 @@ def test_query_equals_its_sql(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_candidates_of_all_claims_against_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    orders = [(k, rng.randrange(1, 45)) for k in range(200)]
+    lines = [(rng.randrange(200), rng.randrange(30), rng.randrange(15)) for _ in range(700)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    customer, want = dict(orders), set()
+    claims, strategies = {}, {}
+    for order, part, supplier in lines:
+        claims.setdefault(customer[order], set()).add(part)
+        strategies.setdefault(supplier, set()).add(part)
+    for claim, parts in claims.items():
+        found = sorted((-len(parts & own), s) for s, own in strategies.items() if parts & own)
+        want |= {(claim, s, -n) for n, s in found[:8]}
+    got = entry.queries()["knw09_candidates_of_all"](spark, str(tmp_path)).select("claim_id", "strategy_id", "shared").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and len(claims) > 30
