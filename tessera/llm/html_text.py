@@ -2,9 +2,9 @@
 
 Markup is stripped to lines: a block element gives a line, the edge of a container gives empty lines, and
 what stands in a menu, header, footer, sidebar, notice, advert, form or comment gives none. Text lengths are
-summed over windows of WINDOW lines; text surges where a window leaves zero and dives where it comes back.
-Of the runs between surge and dive those inside an article or main element are kept, or where a page has
-none, the run with the most text.
+summed over windows of WINDOW lines; a run is what lies between two edges of containers. Lines inside an
+article or main element are kept; where a page has none, text surges at the first run whose windows reach a
+threshold taken from the page and dives after the last one, and all runs between are kept but those of links.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 #: Lines of a window.
 WINDOW = 3
+#: Characters a line counts as at most, share of a page's mean window that a run has to reach, share of links of a run of links.
+LONG, SHARE, LINKED = 240, 1 / 16, 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Element names and the words of class, id and role that mark what isn't main text.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -50,25 +53,29 @@ def _is_marked(attributes: str, inner: bool) -> bool:
     return any(p.lower() in marks for m in _MARKED.finditer(attributes) for p in _PART.findall(m[2] or m[3] or m[4] or ""))
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(line, stands in an article or main element) in page order."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, int, bool]]:
+    """(line, stands in an article or main element, characters in links, is a heading) in page order."""
+    lines: list[tuple[str, bool, int, bool]] = []
     held: list[str] = []
     inner, at, end = 0, 0, len(page)
+    in_link, linked, heading = False, 0, False
     dropped, nested = "", 0
 
     def close(gap: bool) -> None:
+        nonlocal linked
         if line := " ".join(html.unescape("".join(held)).split()):
-            lines.append((line, inner > 0))
+            lines.append((line, inner > 0, min(linked, len(line)), heading))
         held.clear()
+        linked = 0
         if gap and lines and lines[-1][0]:
-            lines.extend([("", False)] * WINDOW)
+            lines.extend([("", False, 0, False)] * WINDOW)
 
     while at < end:
         tag = _TOKEN.search(page, at)
         text = page[at : tag.start() if tag else end]
         if text and not dropped:
             held.append(text)
+            linked += len(" ".join(html.unescape(text).split())) * in_link
         if not tag:
             break
         at, name = tag.end(), (tag[2] or "").lower()
@@ -92,6 +99,9 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                 continue
         if name in BLOCKS:
             close(name in CONTAINERS)
+            heading = not closing and name in HEADINGS
+        if name == "a":
+            in_link = not closing
         if not closing and name not in VOID and not tag[0].endswith("/>"):
             outer_header = name == "header" and not inner
             if name in DROPPED or outer_header or (name not in ("html", "body", "article", "main") and _is_marked(tag[3] or "", inner > 0)):
@@ -105,20 +115,43 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     return lines
 
 
+def _kept_runs(lines: list[tuple[str, bool, int, bool]], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs between the first surge and the last dive that reach the page's threshold, but for runs of links.
+
+    Windows are summed within a run, of lines that count as LONG characters at most. The threshold is a SHARE of
+    the mean window of the page's characters. A run of headings before a kept run is kept with it.
+    """
+
+    def linked(run):
+        return sum(n for _, _, n, _ in lines[run[0] : run[1]]) > LINKED * sum(len(x) for x, *_ in lines[run[0] : run[1]])
+
+    text = [r for r in runs if not linked(r)] or runs
+    windows, sizes = [], []
+    for a, b in text:
+        size = np.array([min(len(x), LONG) for x, *_ in lines[a:b] if x])
+        sizes.append(size)
+        windows.append(np.convolve(size, np.ones(WINDOW, np.int64), "full")[: len(size)])
+    bound = SHARE * float(np.average(np.concatenate(windows), weights=np.concatenate(sizes)))
+    dense = [k for k, w in enumerate(windows) if w.max() >= bound]
+    first, last = dense[0], dense[-1]
+    while first and all(h for x, _, _, h in lines[slice(*text[first - 1])] if x):
+        first -= 1
+    return text[first : last + 1]
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    length = np.array([len(line) for line, _ in lines])
+    length = np.array([len(line) for line, *_ in lines])
     window = np.convolve(length, np.ones(WINDOW, np.int64), "full")[: len(length)]
     live = np.concatenate([[0], (window > 0).astype(np.int8), [0]])
     surge, dive = np.flatnonzero(np.diff(live) == 1), np.flatnonzero(np.diff(live) == -1)
-    runs = list(zip(surge.tolist(), dive.tolist(), strict=True))
-    if any(inner for _, inner in lines):
-        kept = [line for line, inner in lines if line and inner]
+    if any(inner for _, inner, *_ in lines):
+        kept = [line for line, inner, *_ in lines if line and inner]
     else:
-        a, b = max(runs, key=lambda r: int(length[r[0] : r[1]].sum()), default=(0, 0))
-        kept = [line for line, _ in lines[a:b] if line]
+        runs = list(zip(surge.tolist(), dive.tolist(), strict=True))
+        kept = [line for a, b in _kept_runs(lines, runs) for line, *_ in lines[a:b] if line]
     return "\n".join(kept)
 
 

@@ -218,6 +218,14 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<p></p>", "plain &lt; text", "<p class='ad'>buy<p>good")] == ["", "", "", "plain < text", "good"]
 
 
+def test_main_text_without_an_article_is_all_its_runs():
+    assert html_text.main_text("<div><p>A</p><ul><li>B</li></ul><p>C</p></div>") == "A\nB\nC"
+    one, two, three = ("%s sentence of the text. " % n * 8 for n in ("first", "second", "third"))
+    links = "<ul>" + "<li><a href='/x'>Some other page of this site</a>" * 9 + "</ul>"
+    page = f"<body><div>{links}</div><div><h1>Title</h1></div><section><p>{one}</p></section><section><p>{two}</p><table><tr><td>1<td>2</table></section>{links}<div><dl><dt>a<dd>b</dl><p>{three} <a href='/y'>more</a></p></div><div>(c) 2020</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", one.strip(), two.strip(), "1", "2", "a", "b", three.strip() + " more"])
+
+
 def test_repeated_passages(spark):
     rng = random.Random(5)
     shared = prose(rng, 70)
