@@ -4,7 +4,8 @@ A document's n-grams are exploded within a block of documents of one task: for e
 with the block's distinct n-grams, how often each occurs, and the documents they occur in. A partition's
 task adds up its part of the count table from all blocks, joins it to the same n-grams, and gives each
 document its part of the sum. Rows are packed, so an occurrence takes a few bytes, and a frequent n-gram is
-one entry of a block, however often it occurs.
+one entry of a block, however often it occurs. A block is known by its partition and its number there; rows
+are sorted within a partition, so a task that runs again makes the same blocks.
 
 self_scores() scores a table by its own counts; every pair of words is then in the table, and no score
 falls back. score_against() scores one table by the counts of another and falls back where it must.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,15 @@ def pack(rows: DataFrame, parts: int) -> DataFrame:
     """(id, text) as packed n-grams: even keys are words that have a successor, odd keys pairs of words."""
     names = PACKED.replace(",", "").split()[::2]
 
-    def emit(keys, docs, ids):
+    def emit(number, keys, docs, ids):
         order = np.argsort(keys)
         keys, docs = keys[order], docs[order].astype(np.uint16)
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
         at = np.flatnonzero(new)
         uniq, n = keys[at], np.diff(np.append(at, len(keys))).astype(np.uint32)
-        block = int(C.signed(C.mix(np.array([len(ids)], np.uint64) + np.bitwise_xor.reduce(C.mix(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64)))))[0])
+        # mix is one to one, so blocks have different names, and they are dealt evenly
+        block = int(C.signed(C.mix(np.array([TaskContext.get().partitionId() << 32 | number], np.uint64)))[0])
         # the high bits of a key say its partition, so that partitions are runs of the sorted keys
         cut = np.append(np.searchsorted(uniq, np.array([p * 2**64 // parts for p in range(parts)], np.uint64)), len(uniq))
         where = np.append(at, len(keys))
@@ -55,7 +58,7 @@ def pack(rows: DataFrame, parts: int) -> DataFrame:
                 yield _batch([(p, block, uniq[a:b].tobytes(), n[a:b].tobytes(), docs[where[a] : where[b]].tobytes(), b"")], names, KINDS)
 
     def run(batches):
-        held, n_words, n_docs = [], 0, 0
+        held, n_words, n_docs, number = [], 0, 0, 0
         for batch in batches:
             buf, offs = C.text_bytes(batch.column("text"))
             for lo, hi in C.pieces(offs):
@@ -68,12 +71,12 @@ def pack(rows: DataFrame, parts: int) -> DataFrame:
                 held.append((keys, np.concatenate([doc, doc]), batch.column("id").slice(lo, n).to_numpy()))
                 n_words, n_docs = n_words + len(words), n_docs + n
                 if n_words >= BLOCK_WORDS or n_docs >= BLOCK_DOCS:
-                    yield from emit(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-                    held, n_words, n_docs = [], 0, 0
+                    yield from emit(number, *(np.concatenate([h[k] for h in held]) for k in range(3)))
+                    held, n_words, n_docs, number = [], 0, 0, number + 1
         if held:
-            yield from emit(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            yield from emit(number, *(np.concatenate([h[k] for h in held]) for k in range(3)))
 
-    return rows.mapInArrow(run, PACKED)
+    return rows.sortWithinPartitions("id", "text").mapInArrow(run, PACKED)
 
 
 def _join_counts(table: pa.Table) -> pa.Table:

@@ -207,6 +207,18 @@ def test_lm_scores(spark):
     assert lm_score.self_scores(small.limit(0)).count() == 0
 
 
+def test_lm_scores_of_equal_and_falling_ids(spark):
+    texts = [prose(random.Random(i), 12) for i in range(10)]
+    table = docs(spark, texts).coalesce(1)
+    once = {r.doc_id: (r.n_scored, r.log_score) for r in lm_score.self_scores(table).collect()}
+    twice = lm_score.self_scores(table.union(table)).collect()
+    assert sorted((r.doc_id, r.n_scored, r.log_score) for r in twice) == sorted((i, *x) for i, x in once.items() for _ in range(2))
+    falling = [spark.createDataFrame([(i, texts[i], "x") for i in ids], DOC).coalesce(1) for ids in ((9, 8), (7, 6), (5, 4), (3, 2), (1, 0))]
+    for t in falling[1:]:
+        falling[0] = falling[0].union(t)
+    assert {r.doc_id: (r.n_scored, r.log_score) for r in lm_score.self_scores(falling[0]).collect()} == once
+
+
 def test_main_text():
     page = (
         '<html><head><title>T</title><style>p{}</style></head><body><header>top</header><nav><ul><li><a href="/">menu</a></ul></nav>'
