@@ -4,10 +4,11 @@ Suffixes are kept at minimiser positions only: of each 43 neighbouring runs of 8
 smallest hash, so that any two equal passages of 50 words keep the same suffixes. A passage of 50 words
 reaches 21 words beyond its anchor's run on one side at least; so each suffix is grouped twice, by the
 29 words from its anchor on and by the 29 words up to its anchor's end, and only groups of two and more
-fetch their context. Within a group suffixes are sorted by context, each is compared with its neighbour,
-and matches are extended to both sides; long passages are chains of overlapping matches. Large groups are
-salted by their size, each salt being sorted on its own; keys with more than a HOT_KEYS-th of all suffixes,
-of which there are less than HOT_KEYS, get their sizes by a broadcast, so that their rows aren't brought together.
+fetch their context. Within a group each suffix is taken apart into the passages of 50 words that hold its
+anchor and reach as far to the group's side; a passage that another suffix of the group has is repeated.
+So whatever the others of a group have in common, no pair is missed. Large groups, of which there are less
+than HOT_KEYS, aren't brought together: their passages are grouped by their own hashes, of all such groups at once, after each piece of
+a partition has combined those that it has itself.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from tessera.llm import common as C
 PASSAGE, RUN = 50, 8
 SPREAD = PASSAGE - RUN + 1
 BEYOND = (PASSAGE - RUN) // 2
-#: Words of context kept to each side of an anchor, enough to reach the next anchor of a match; rows of one salt of a group.
-LEFT, RIGHT = SPREAD, SPREAD + RUN
-SALT_ROWS = 2048
+#: Words before and from an anchor on, by side, that its passages reach; passages of a suffix; suffixes that a group has at least to be a large one.
+BEFORE, AFTER = np.array([BEYOND, PASSAGE - RUN]), np.array([PASSAGE, PASSAGE - BEYOND - 1])
+OFFSETS = BEYOND + 1
+LARGE_ROWS = 2048
 #: Bound of the number of keys whose sizes are broadcast.
 HOT_KEYS = 10_000
 
@@ -51,20 +53,27 @@ def _words(batch: pa.RecordBatch):
         yield batch.slice(lo, hi - lo), C.word_hashes(buf, starts, ends), first
 
 
+def _sides(words: np.ndarray, first: np.ndarray):
+    """Row, word place, side and key of the suffixes of the rows of words."""
+    row, at = anchors(words, first)
+    long = C.run_hashes(words, RUN + BEYOND)
+    right = at + RUN + BEYOND <= first[row + 1]
+    left = at - BEYOND >= first[row]
+    side = np.repeat(np.array([0, 1], np.int32), [right.sum(), left.sum()])
+    return np.concatenate([row[right], row[left]]), np.concatenate([at[right], at[left]]), side, np.concatenate([long[at[right]], long[at[left] - BEYOND] ^ np.uint64(1)])
+
+
 def keyed_anchors(rows: DataFrame) -> DataFrame:
     """(id, place, side, key): side 0 to the right of an anchor, 1 to its left; side 2 has a row's words in place."""
 
     def run(batch):
         for part, words, first in _words(batch):
-            row, at = anchors(words, first)
-            long = C.run_hashes(words, RUN + BEYOND)
+            row, at, side, key = _sides(words, first)
             n = len(part)
-            right = at + RUN + BEYOND <= first[row + 1]
-            left = at - BEYOND >= first[row]
-            who = np.concatenate([row[right], row[left], np.arange(n)])
-            place = np.concatenate([(at - first[row])[right], (at - first[row])[left], np.diff(first)])
-            side = np.repeat(np.array([0, 1, 2], np.int32), [right.sum(), left.sum(), n])
-            key = np.concatenate([long[at[right]], long[at[left] - BEYOND] ^ np.uint64(1), np.zeros(n, np.uint64)])
+            who = np.concatenate([row, np.arange(n)])
+            place = np.concatenate([at - first[row], np.diff(first)])
+            side = np.concatenate([side, np.full(n, 2, np.int32)])
+            key = np.concatenate([key, np.zeros(n, np.uint64)])
             yield pa.RecordBatch.from_arrays(
                 [part.column("id").take(pa.array(who)), pa.array(place.astype(np.int32)), pa.array(side), pa.array(C.signed(key))], names=["id", "place", "side", "key"]
             )
@@ -73,55 +82,109 @@ def keyed_anchors(rows: DataFrame) -> DataFrame:
 
 
 def with_context(rows: DataFrame) -> DataFrame:
-    """rows: (id, text, wanted array<struct<place, side, key, salt>>); a row with its context for each wanted."""
+    """rows: (id, text, wanted array<struct<place, side, key>>); for each wanted the words that its passages reach, and how many are before it."""
+    names = ["key", "context", "before", "id", "place", "side"]
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
 
     def run(batch):
         for part, words, first in _words(batch):
-            small = (words >> np.uint64(48)).astype(">u2")
+            small = (words >> np.uint64(48)).astype("<u2")
             out = []
             for k, (i, wanted) in enumerate(zip(part.column("id").to_pylist(), part.column("wanted").to_pylist(), strict=True)):
                 own = small[first[k] : first[k + 1]]
                 for w in wanted:
-                    p = w["place"]
-                    before, after = own[max(0, p - LEFT) : p][::-1].tobytes(), own[p : p + RIGHT].tobytes()
-                    near, far = (after, before) if w["side"] == 0 else (before, after)
-                    out.append((w["key"], w["salt"], near, far, i, p, w["side"]))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "salt", "near", "far", "id", "place", "side"])
-
-    return C.map_batches(rows, run, "key long, salt int, near binary, far binary, id long, place int, side int")
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Words that two contexts have in common from their beginnings."""
-    n = min(len(a), len(b)) // 2
-    if a[: 2 * n] == b[: 2 * n]:
-        return n
-    return int(np.argmax(np.frombuffer(a, "<u2", n) != np.frombuffer(b, "<u2", n)))
-
-
-def compare_neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """(id, first, last): matches of PASSAGE words and more of each suffix with the next one of its group."""
+                    p, side = w["place"], w["side"]
+                    before = min(p, int(BEFORE[side]))
+                    out.append((w["key"], own[p - before : p + int(AFTER[side])].tobytes(), before, i, p, side))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return C.map_batches(rows, run, "key long, context binary, before int, id long, place int, side int")
+
+
+def _passages(key: np.ndarray, context: list[bytes], before: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By place of a passage and suffix: its hash, of its words, its place and the key; and whether there is one."""
+    size = np.array([len(c) for c in context]) // 2
+    flat = np.frombuffer(b"".join(context), "<u2")
+    lead = BEFORE[side] - before
+    row = np.repeat(np.arange(len(size)), size)
+    words = np.zeros((OFFSETS + PASSAGE - 1, len(size)), np.uint64)
+    words[np.arange(len(flat)) + (lead - np.cumsum(size) + size)[row], row] = flat
+    out, base, top = np.empty((OFFSETS, len(size)), np.uint64), np.uint64(C._BASE), np.uint64(pow(C._BASE, PASSAGE - 1, 2**64))
+    now = np.zeros(len(size), np.uint64)
+    for c in range(PASSAGE):
+        now = now * base + words[c]
+    salt = C.mix(key.view(np.uint64))
+    for c in range(OFFSETS):
+        out[c] = C.mix(now ^ salt) + np.uint64(c)
+        if c + 1 < OFFSETS:
+            now = (now - words[c] * top) * base + words[c + PASSAGE]
+    at = np.arange(OFFSETS)[:, None]
+    return C.mix(out), (at >= lead) & (at + PASSAGE <= lead + size)
+
+
+def compare_groups(sorted_rows: DataFrame) -> DataFrame:
+    """(id, first, last): of each suffix the words of its passages that another suffix of its group has; a group is within a partition, in a row."""
+    names = ["id", "first", "last"]
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        key, before, place, side = (table.column(c).to_numpy() for c in ("key", "before", "place", "side"))
+        hashes, there = _passages(key, table.column("context").to_pylist(), before, side)
+        found, times = np.unique(hashes[there], return_counts=True)
+        again = np.zeros(hashes.shape, bool)
+        again[there] = np.isin(hashes[there], found[times > 1], kind="sort")
+        at = np.flatnonzero(again.any(0))
+        start = (place - BEFORE[side])[at]
+        first, last = start + again[:, at].argmax(0), start + OFFSETS - 1 - again[::-1, at].argmax(0) + PASSAGE
+        return pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(pa.array(at)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=names)
 
     def run(batches):
-        held = None
+        held: list = []
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[:2] == row[:2]:
-                    near, far = common(held[2], row[2]), common(held[3], row[3])
-                    if near + far >= PASSAGE:
-                        for _, _, _, _, i, p, side in (held, row):
-                            before, after = (far, near) if side == 0 else (near, far)
-                            out.append((i, p - before, p + after))
-                held = row
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "first", "last"])
+            key = batch.column("key").to_numpy()
+            if not len(key):
+                continue
+            # the last group may go on in the next batch
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            if cut:
+                yield compared(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and held[-1].column("key")[-1].as_py() != key[0]:
+                yield compared(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield compared(pa.Table.from_batches(held))
 
     return sorted_rows.mapInArrow(run, "id long, first int, last int")
 
 
+def large_passages(rows: DataFrame, keys: list[int]) -> DataFrame:
+    """(id, first, last, key): of the suffixes of the groups keys, the words of passages that a piece has twice, without a key, and each passage of a piece once, with its hash as the key."""
+    large = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(keys, np.int64)))
+
+    def run(batch):
+        for part, words, first in _words(batch):
+            row, at, side, key = _sides(words, first)
+            own = np.isin(C.signed(key), large.value)
+            row, at, side, key = row[own], at[own], side[own], key[own]
+            passages = C.run_hashes(words, PASSAGE)
+            start = at - BEFORE[side] + np.arange(OFFSETS)[:, None]
+            there = (start >= first[row]) & (start + PASSAGE <= first[row + 1]) & (start <= at) & (at + RUN <= start + PASSAGE)
+            # one row for each place, whatever suffixes hold it
+            who, place = np.divmod(np.unique((np.broadcast_to(row, start.shape)[there] << 32) | (start - first[row])[there]), 1 << 32)
+            key, at, own, times = np.unique(passages[first[who] + place], return_index=True, return_inverse=True, return_counts=True)
+            twice = times[own] > 1
+            held, begin = who[twice], place[twice]
+            new = np.flatnonzero(np.append(True, (held[1:] != held[:-1]) | (begin[1:] > begin[:-1] + PASSAGE))[: len(held)])
+            ends = begin[np.append(new[1:] - 1, len(held) - 1)[: len(new)]] + PASSAGE
+            who, begin, ends = np.concatenate([held[new], who[at]]), np.concatenate([begin[new], place[at]]), np.concatenate([ends, place[at] + PASSAGE])
+            keys = pa.array(np.append(np.zeros(len(new), np.int64), C.signed(key)), mask=np.arange(len(who)) < len(new))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(who)), pa.array(begin.astype(np.int32)), pa.array(ends.astype(np.int32)), keys], names=["id", "first", "last", "key"])
+
+    return C.map_batches(rows, run, "id long, first int, last int, key long")
+
+
 def sized(suffixes: DataFrame) -> DataFrame:
     """suffixes with n, the size of their group, without those that are alone in it."""
     total = suffixes.count()
@@ -152,12 +215,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     keyed = C.materialise(keyed_anchors(docs))
-    found = sized(keyed.filter("side < 2"))
-    salt = F.pmod(F.xxhash64("id", "place"), F.ceil(F.col("n") / SALT_ROWS)).cast("int")
-    wanted = found.groupBy("id").agg(F.collect_list(F.struct("place", "side", "key", salt.alias("salt"))).alias("wanted"))
-    suffixes = with_context(docs.join(wanted.hint("merge"), "id"))
-    parts = suffixes.repartition("key", "salt").sortWithinPartitions("key", "salt", "near")
-    spans = compare_neighbours(parts).distinct().groupBy("id").agg(merged(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    suffixes = keyed.filter("side < 2")
+    bound = max(LARGE_ROWS, suffixes.count() // HOT_KEYS)
+    large = [r.key for r in suffixes.groupBy("key").count().filter(F.col("count") > bound).select("key").collect()]
+    found = sized(suffixes).filter(F.col("n") <= bound)
+    wanted = found.groupBy("id").agg(F.collect_list(F.struct("place", "side", "key")).alias("wanted"))
+    parts = with_context(docs.join(wanted.hint("merge"), "id")).repartition("key").sortWithinPartitions("key")
+    spans = compare_groups(parts)
+    if large:
+        passages = C.materialise(large_passages(docs, large))
+        again = sized(passages.filter("key is not null")).drop("key", "n").unionByName(passages.filter("key is null").drop("key"))
+        spans = spans.unionByName(again)
+    spans = spans.distinct().groupBy("id").agg(merged(F.collect_list(F.struct("first", "last"))).alias("spans"))
     rows = keyed.filter("side = 2").groupBy("id").agg(F.max("place").cast("long").alias("n_words"))
     empty = F.array().cast("array<struct<first:int,last:int>>")
     out = rows.join(spans, "id", "left").withColumn("spans", F.coalesce("spans", empty))

@@ -249,6 +249,29 @@ def test_repeated_passages(spark):
     assert suffix_dedup.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [2048, 20, 1])
+def test_repeated_passages_of_a_hot_template_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE_ROWS", large)
+    rng = random.Random(12)
+    template, more = prose(rng, 45), [prose(rng, 10) for _ in range(12)]
+    texts = [prose(rng, 30) + " " + template + " " + prose(rng, 30) for _ in range(150)]
+    for k, m in enumerate(more):
+        before, after = (5 + k % 6, 0) if k % 3 == 0 else (0, 5 + k % 6) if k % 3 == 1 else (3, 3)
+        own = m.split()
+        for _ in range(2):
+            texts.append(" ".join([prose(rng, 30), *own[len(own) - before :], template, *own[:after], prose(rng, 30)]))
+    texts += [prose(rng, 20) + " " + " ".join(texts[3].split()[10:90]), "x y z " * 60, *EDGE]
+    rng.shuffle(texts)
+    words = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
+    seen = collections.Counter(tuple(w[s : s + 50]) for w in words.values() for s in range(len(w) - 49))
+    want = {}
+    for i, w in words.items():
+        hit = {x for s in range(len(w) - 49) if seen[tuple(w[s : s + 50])] > 1 for x in range(s, s + 50)}
+        want[i] = len(hit)
+    got = {r.doc_id: r.n_repeated for r in suffix_dedup.repeated_passages(docs(spark, texts)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("bound", [1, 3, 10**6])
 def test_group_sizes_are_the_same_for_hot_and_other_keys(spark, monkeypatch, bound):
     monkeypatch.setattr(suffix_dedup, "HOT_KEYS", bound)
