@@ -43,7 +43,12 @@ def test_bpe_equals_the_library(spark):
     assert {r.doc_id: list(r.token_ids) for r in rows} == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
     assert {r.doc_id: bytes(r.decoded) for r in rows} == {i: (t or "").encode() for i, t in enumerate(texts)}
     got = bpe.bpe_digests(docs(spark, texts), PATH, public_tokenizers.PATTERN).collect()
-    assert all(r.ids_sha256 == hashlib.sha256(",".join(map(str, library.encode_ordinary(texts[r.doc_id] or ""))).encode()).hexdigest() for r in got)
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+    assert bpe.bpe_digests(docs(spark, ["a"]).limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     assert bpe.bpe_encode(docs(spark, ["a"]).limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
@@ -272,6 +277,30 @@ def test_repeated_passages_of_a_hot_template_equal_brute_force(spark, monkeypatc
     assert got == want
 
 
+def repeated_by_brute_force(texts):
+    words = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
+    seen = collections.Counter(tuple(w[s : s + 50]) for w in words.values() for s in range(len(w) - 49))
+    return {i: len({x for s in range(len(w) - 49) if seen[tuple(w[s : s + 50])] > 1 for x in range(s, s + 50)}) for i, w in words.items()}
+
+
+@pytest.mark.parametrize("large", [2048, 1])
+def test_repeated_passages_of_overlapping_cuts_and_periods_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE_ROWS", large)
+    rng, texts = random.Random(21), list(EDGE)
+    base = prose(rng, 300).split()
+    for _ in range(150):
+        at = rng.randrange(240)
+        texts.append(" ".join([prose(rng, rng.randrange(20)), *base[at : at + rng.randrange(50, 71)], prose(rng, rng.randrange(20))]))
+    for n in (2, 7, 30, 45, 60):
+        texts.append(prose(rng, 10) + " " + (prose(rng, n) + " ") * 3 + prose(rng, 40))
+    for near in range(40):
+        own = base[100:200]
+        own[50] = "odd%d" % near
+        texts.append(" ".join(own))
+    got = {r.doc_id: r.n_repeated for r in suffix_dedup.repeated_passages(docs(spark, texts)).collect()}
+    assert got == repeated_by_brute_force(texts)
+
+
 @pytest.mark.parametrize("bound", [1, 3, 10**6])
 def test_group_sizes_are_the_same_for_hot_and_other_keys(spark, monkeypatch, bound):
     monkeypatch.setattr(suffix_dedup, "HOT_KEYS", bound)
