@@ -20,14 +20,14 @@ PIECE_BYTES, PIECE_DOCS = 4 << 20, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of its own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share; one of its own only where a local session names none, else that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not (held := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -71,6 +71,8 @@ ALNUM = byte_class([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: Words of a run from which on its hash is a difference of sums, and the runs of one sum.
+LONG_RUN, STRETCH = 12, 1 << 16
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -130,6 +132,15 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
+    if k > LONG_RUN:
+        # sums of words times powers, each begun anew for a stretch that stays in the cache
+        up, down = powers(STRETCH + k)
+        for lo in range(0, n, STRETCH):
+            size = min(STRETCH, n - lo)
+            total = np.zeros(size + k, np.uint64)
+            np.cumsum(words[lo : lo + size + k - 1] * up[: size + k - 1], out=total[1:])
+            out[lo : lo + size] = (total[k:] - total[:size]) * down[:size]
+        return mix(out)
     for i in range(k):
         out *= np.uint64(_BASE)
         out += words[i : i + n]

@@ -4,17 +4,22 @@ Suffixes are kept at minimiser positions only: of each 43 neighbouring runs of 8
 smallest hash, so that any two equal passages of 50 words keep the same suffixes. A passage of 50 words
 reaches 21 words beyond its anchor's run on one side at least; so each suffix is grouped twice, by the
 29 words from its anchor on and by the 29 words up to its anchor's end, and only groups of two and more
-fetch their context. Within a group each suffix is taken apart into the passages of 50 words that hold its
-anchor and reach as far to the group's side; a passage that another suffix of the group has is repeated.
-So whatever the others of a group have in common, no pair is missed. Large groups, of which there are less
-than HOT_KEYS, aren't brought together: their passages are grouped by their own hashes, of all such groups at once, after each piece of
-a partition has combined those that it has itself.
+fetch their passages: the runs of 50 words that hold the anchor and reach as far to the group's side, as
+hashes of their whole words. A passage that another suffix of the group has is repeated, so whatever the
+others of a group have in common, no pair is missed. Large groups, of which there are less than HOT_KEYS,
+aren't brought together: their passages are grouped by their own hashes, of all such groups at once, after
+each piece of a partition has combined those that it has itself. Extending a match to the left and right is
+the union of its passages.
+
+Words compare by 64-bit hashes. Two passages of a group that differ are taken for equal with a chance of
+2**-48, those of large groups with 2**-64.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +30,9 @@ from tessera.llm import common as C
 PASSAGE, RUN = 50, 8
 SPREAD = PASSAGE - RUN + 1
 BEYOND = (PASSAGE - RUN) // 2
-#: Words before and from an anchor on, by side, that its passages reach; passages of a suffix; suffixes that a group has at least to be a large one.
-BEFORE, AFTER = np.array([BEYOND, PASSAGE - RUN]), np.array([PASSAGE, PASSAGE - BEYOND - 1])
-OFFSETS = BEYOND + 1
+#: Words before an anchor, by side, that its passages reach; passages of a suffix; bytes of a passage's hash; suffixes that a group has at least to be a large one.
+BEFORE = np.array([BEYOND, PASSAGE - RUN])
+OFFSETS, WIDTH = BEYOND + 1, 6
 LARGE_ROWS = 2048
 #: Bound of the number of keys whose sizes are broadcast.
 HOT_KEYS = 10_000
@@ -81,46 +86,30 @@ def keyed_anchors(rows: DataFrame) -> DataFrame:
     return C.map_batches(rows, run, "id long, place int, side int, key long")
 
 
-def with_context(rows: DataFrame) -> DataFrame:
-    """rows: (id, text, wanted array<struct<place, side, key>>); for each wanted the words that its passages reach, and how many are before it."""
-    names = ["key", "context", "before", "id", "place", "side"]
-    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+def with_passages(rows: DataFrame) -> DataFrame:
+    """rows: (id, text, wanted array<struct<place, side, key>>); for each wanted its passages: where the first begins, and 48 bits of a hash of each and its place from the anchor."""
+    names = ["key", "hashes", "id", "start"]
 
     def run(batch):
         for part, words, first in _words(batch):
-            small = (words >> np.uint64(48)).astype("<u2")
-            out = []
-            for k, (i, wanted) in enumerate(zip(part.column("id").to_pylist(), part.column("wanted").to_pylist(), strict=True)):
-                own = small[first[k] : first[k + 1]]
-                for w in wanted:
-                    p, side = w["place"], w["side"]
-                    before = min(p, int(BEFORE[side]))
-                    out.append((w["key"], own[p - before : p + int(AFTER[side])].tobytes(), before, i, p, side))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    return C.map_batches(rows, run, "key long, context binary, before int, id long, place int, side int")
-
-
-def _passages(key: np.ndarray, context: list[bytes], before: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By place of a passage and suffix: its hash, of its words, its place and the key; and whether there is one."""
-    size = np.array([len(c) for c in context]) // 2
-    flat = np.frombuffer(b"".join(context), "<u2")
-    lead = BEFORE[side] - before
-    row = np.repeat(np.arange(len(size)), size)
-    words = np.zeros((OFFSETS + PASSAGE - 1, len(size)), np.uint64)
-    words[np.arange(len(flat)) + (lead - np.cumsum(size) + size)[row], row] = flat
-    out, base, top = np.empty((OFFSETS, len(size)), np.uint64), np.uint64(C._BASE), np.uint64(pow(C._BASE, PASSAGE - 1, 2**64))
-    now = np.zeros(len(size), np.uint64)
-    for c in range(PASSAGE):
-        now = now * base + words[c]
-    salt = C.mix(key.view(np.uint64))
-    for c in range(OFFSETS):
-        out[c] = C.mix(now ^ salt) + np.uint64(c)
-        if c + 1 < OFFSETS:
-            now = (now - words[c] * top) * base + words[c + PASSAGE]
-    at = np.arange(OFFSETS)[:, None]
-    return C.mix(out), (at >= lead) & (at + PASSAGE <= lead + size)
+            wanted = part.column("wanted")
+            count = pc.list_value_length(wanted).to_numpy(zero_copy_only=False)
+            place, side, key = pc.struct_field(wanted.flatten(), [0]), pc.struct_field(wanted.flatten(), [1]), pc.struct_field(wanted.flatten(), [2])
+            row = np.repeat(np.arange(len(part)), count)
+            at = place.to_numpy() + first[row]
+            reach = at - BEFORE[side.to_numpy()]
+            lo, hi = np.maximum(reach, first[row]), np.minimum(reach + OFFSETS, first[row + 1] - PASSAGE + 1)
+            size = np.maximum(hi - lo, 0)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            which = np.arange(ends[-1]) + np.repeat(lo - ends[:-1], size)
+            # with its place from the anchor, so that a passage that holds two anchors of a group isn't its own copy
+            offset = (which - np.repeat(reach, size)).astype(np.uint64)
+            small = (C.mix(C.run_hashes(words, PASSAGE)[which] + offset) >> np.uint64(16)).astype("<u8")
+            data = small.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+            hashes = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((ends * WIDTH).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([key, hashes, part.column("id").take(pa.array(row)), pa.array((lo - first[row]).astype(np.int32))], names=names)
+
+    return C.map_batches(rows, run, "key long, hashes binary, id long, start int")
 
 
 def compare_groups(sorted_rows: DataFrame) -> DataFrame:
@@ -128,15 +117,19 @@ def compare_groups(sorted_rows: DataFrame) -> DataFrame:
     names = ["id", "first", "last"]
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        key, before, place, side = (table.column(c).to_numpy() for c in ("key", "before", "place", "side"))
-        hashes, there = _passages(key, table.column("context").to_pylist(), before, side)
-        found, times = np.unique(hashes[there], return_counts=True)
-        again = np.zeros(hashes.shape, bool)
-        again[there] = np.isin(hashes[there], found[times > 1], kind="sort")
-        at = np.flatnonzero(again.any(0))
-        start = (place - BEFORE[side])[at]
-        first, last = start + again[:, at].argmax(0), start + OFFSETS - 1 - again[::-1, at].argmax(0) + PASSAGE
-        return pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(pa.array(at)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=names)
+        column = table.column("hashes").combine_chunks()
+        size = pc.binary_length(column).to_numpy() // WIDTH
+        own = np.repeat(np.arange(len(size)), size)
+        wide = np.zeros((len(own), 8), np.uint8)
+        wide[:, :WIDTH] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+        hashes = wide.view("<u8").ravel() ^ C.mix(table.column("key").to_numpy().view(np.uint64))[own]
+        _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(times[which] > 1)
+        who, begin = np.unique(own[again], return_index=True)
+        end = np.append(begin, len(again))[1:] - 1
+        start = table.column("start").to_numpy()[who] - (np.cumsum(size) - size)[who]
+        first, last = start + again[begin], start + again[end] + PASSAGE
+        return pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(pa.array(who)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=names)
 
     def run(batches):
         held: list = []
@@ -220,7 +213,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = [r.key for r in suffixes.groupBy("key").count().filter(F.col("count") > bound).select("key").collect()]
     found = sized(suffixes).filter(F.col("n") <= bound)
     wanted = found.groupBy("id").agg(F.collect_list(F.struct("place", "side", "key")).alias("wanted"))
-    parts = with_context(docs.join(wanted.hint("merge"), "id")).repartition("key").sortWithinPartitions("key")
+    parts = with_passages(docs.join(wanted.hint("merge"), "id")).repartition("key").sortWithinPartitions("key")
     spans = compare_groups(parts)
     if large:
         passages = C.materialise(large_passages(docs, large))
