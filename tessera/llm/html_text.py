@@ -1,16 +1,18 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines: a block element gives a line, the edge of a container gives empty lines, and
-what stands in a menu, header, footer, sidebar, notice, advert, form or comment gives none. Text lengths are
-summed over windows of WINDOW lines; a run is what lies between two edges of containers. Lines inside an
-article or main element are kept; where a page has none, text surges at the first run whose windows reach a
-threshold taken from the page and dives after the last one, and all runs between are kept but those of links.
+Markup is stripped to lines: a block element gives a line, the edge of a container ends a run of lines, and
+what stands in a menu, header, footer, sidebar, notice, advert, form or comment gives none. Each line has a
+weight: its characters outside links up to LONG; in an article or main element LONG; and where a page has
+such an element, lines outside it count OUTER of their characters. Weights are summed over sliding windows
+of WINDOW lines of a run. Text surges at the first run whose windows reach a threshold taken from the
+page and dives after the last one; all lines between are kept, but for runs of links.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Lines of a window.
 WINDOW = 3
-#: Characters a line counts as at most, share of a page's mean window that a run has to reach, share of links of a run of links.
-LONG, SHARE, LINKED = 240, 1 / 16, 0.5
+#: Characters a line counts as at most; share that counts of lines outside an article; share of a page's mean window that a run has to reach; share of links of a run of links.
+LONG, OUTER, SHARE, LINKED = 240, 1 / 16, 1 / 16, 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Element names and the words of class, id and role that mark what isn't main text.
@@ -36,6 +38,12 @@ MARKS = frozenset(
     "complementary contentinfo skip".split()
 )
 OUTER_MARKS = MARKS | frozenset("header masthead topbar".split())
+# Words that may stand beside a mark in one name.
+BESIDE = frozenset(
+    "site page main global primary secondary left right top bottom upper lower inner outer first last box bar block area section wrapper wrap container holder "
+    "row col column panel list item items link links button buttons icon icons slot unit google body content text title heading label form field input article "
+    "articles post posts story stories entry policy more read teaser tools count feed thread tree mobile desktop sticky fixed inline js".split()
+)
 IMPLIED_END = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -45,114 +53,145 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def _is_marked(attributes: str, inner: bool) -> bool:
+    """Hidden, or one of its class, id and role names is made of marks and of words that stand beside them."""
     if not attributes.strip():
         return False
     if _HIDDEN.search(attributes):
         return True
     marks = MARKS if inner else OUTER_MARKS
-    return any(p.lower() in marks for m in _MARKED.finditer(attributes) for p in _PART.findall(m[2] or m[3] or m[4] or ""))
+    for m in _MARKED.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = {p.lower() for p in _PART.findall(name) if not p.isdigit()}
+            if parts & marks and parts <= marks | BESIDE:
+                return True
+    return False
+
+
+class Tag(NamedTuple):
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+    empty: bool
+
+
+def tags_of(page: str) -> tuple[list[Tag], set[int]]:
+    """The tags of a page, without what stands in raw elements, and the numbers of the start tags whose end is there."""
+    tags: list[Tag] = []
+    ended: set[int] = set()
+    open_at: dict[str, list[int]] = {}
+    no_end: set[str] = set()
+    at = 0
+    while tag := _TOKEN.search(page, at):
+        name, closing = (tag[2] or "").lower(), bool(tag[1])
+        at, empty = tag.end(), tag[0].endswith("/>") or name in VOID
+        if not closing and name in RAW and not empty:
+            stop = None if name in no_end else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if stop or name in ("script", "style"):
+                at = stop.end() if stop else len(page)
+                name = ""
+            else:
+                no_end.add(name)
+        tags.append(Tag(tag.start(), at, closing, name, tag[3] or "", empty))
+        if closing and open_at.get(name):
+            ended.add(open_at[name].pop())
+        elif name and not closing and not empty:
+            open_at.setdefault(name, []).append(len(tags) - 1)
+    return tags, ended
+
 
+class Line(NamedTuple):
+    text: str
+    inner: bool
+    linked: int
+    heading: bool
+    run: int
 
-def lines_of(page: str) -> list[tuple[str, bool, int, bool]]:
-    """(line, stands in an article or main element, characters in links, is a heading) in page order."""
-    lines: list[tuple[str, bool, int, bool]] = []
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page in its order, with the number of the run each is in.
+
+    Of an element that is to be dropped but has no end, the text up to the next block is dropped.
+    """
+    lines: list[Line] = []
     held: list[str] = []
-    inner, at, end = 0, 0, len(page)
+    inner, at, run = 0, 0, 0
     in_link, linked, heading = False, 0, False
-    dropped, nested = "", 0
+    dropped, nested, to_block = "", 0, False
+    tags, ended = tags_of(page)
 
-    def close(gap: bool) -> None:
-        nonlocal linked
-        if line := " ".join(html.unescape("".join(held)).split()):
-            lines.append((line, inner > 0, min(linked, len(line)), heading))
+    def close(edge: bool) -> None:
+        nonlocal linked, run
+        if text := " ".join(html.unescape("".join(held)).split()):
+            lines.append(Line(text, inner > 0, min(linked, len(text)), heading, run))
         held.clear()
         linked = 0
-        if gap and lines and lines[-1][0]:
-            lines.extend([("", False, 0, False)] * WINDOW)
+        run += edge
 
-    while at < end:
-        tag = _TOKEN.search(page, at)
-        text = page[at : tag.start() if tag else end]
-        if text and not dropped:
+    for number, tag in enumerate([*tags, Tag(len(page), len(page), True, "", "", True)]):
+        text = page[at : tag.start]
+        if text and not dropped and not to_block:
             held.append(text)
             linked += len(" ".join(html.unescape(text).split())) * in_link
-        if not tag:
-            break
-        at, name = tag.end(), (tag[2] or "").lower()
+        at, name, closing = tag.end, tag.name, tag.closing
         if not name:
             continue
-        closing = bool(tag[1])
-        if not closing and name in RAW and not tag[0].endswith("/>"):
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end if name in ("script", "style") else at
-            if stop or name in ("script", "style"):
-                continue
         if dropped:
             if dropped in IMPLIED_END and not closing and name in IMPLIED_END[dropped] or dropped == "p" and closing and name in CONTAINERS:
                 dropped, nested = "", 0
-            elif name == dropped:
-                nested += -1 if closing else 1
-                if not nested:
-                    dropped = ""
-                continue
             else:
+                if name == dropped:
+                    nested += -1 if closing else 1
+                    dropped = dropped if nested else ""
                 continue
         if name in BLOCKS:
             close(name in CONTAINERS)
+            to_block = False
             heading = not closing and name in HEADINGS
         if name == "a":
             in_link = not closing
-        if not closing and name not in VOID and not tag[0].endswith("/>"):
-            outer_header = name == "header" and not inner
-            if name in DROPPED or outer_header or (name not in ("html", "body", "article", "main") and _is_marked(tag[3] or "", inner > 0)):
-                if name not in ("head",) or re.search(r"</head\s*>|<body", page[at:], re.I):
-                    close(True)
+        if not closing and not tag.empty and name not in ("html", "body", "main"):
+            if name in DROPPED or (name == "header" and not inner) or _is_marked(tag.attributes, inner > 0):
+                close(True)
+                if number in ended or name in IMPLIED_END:
                     dropped, nested = name, 1
                     continue
+                to_block = True
         if name in ("article", "main"):
             inner = max(0, inner + (-1 if closing else 1))
     close(False)
     return lines
 
 
-def _kept_runs(lines: list[tuple[str, bool, int, bool]], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The runs between the first surge and the last dive that reach the page's threshold, but for runs of links.
-
-    Windows are summed within a run, of lines that count as LONG characters at most. The threshold is a SHARE of
-    the mean window of the page's characters. A run of headings before a kept run is kept with it.
-    """
-
-    def linked(run):
-        return sum(n for _, _, n, _ in lines[run[0] : run[1]]) > LINKED * sum(len(x) for x, *_ in lines[run[0] : run[1]])
-
-    text = [r for r in runs if not linked(r)] or runs
-    windows, sizes = [], []
-    for a, b in text:
-        size = np.array([min(len(x), LONG) for x, *_ in lines[a:b] if x])
-        sizes.append(size)
-        windows.append(np.convolve(size, np.ones(WINDOW, np.int64), "full")[: len(size)])
-    bound = SHARE * float(np.average(np.concatenate(windows), weights=np.concatenate(sizes)))
-    dense = [k for k, w in enumerate(windows) if w.max() >= bound]
-    first, last = dense[0], dense[-1]
-    while first and all(h for x, _, _, h in lines[slice(*text[first - 1])] if x):
-        first -= 1
-    return text[first : last + 1]
-
-
 def main_text(page: str | None) -> str:
+    """The lines between the first surge and the last dive of a page's weights, runs of links left out."""
     lines = lines_of(page or "")
     if not lines:
         return ""
-    length = np.array([len(line) for line, *_ in lines])
-    window = np.convolve(length, np.ones(WINDOW, np.int64), "full")[: len(length)]
-    live = np.concatenate([[0], (window > 0).astype(np.int8), [0]])
-    surge, dive = np.flatnonzero(np.diff(live) == 1), np.flatnonzero(np.diff(live) == -1)
-    if any(inner for _, inner, *_ in lines):
-        kept = [line for line, inner, *_ in lines if line and inner]
-    else:
-        runs = list(zip(surge.tolist(), dive.tolist(), strict=True))
-        kept = [line for a, b in _kept_runs(lines, runs) for line, *_ in lines[a:b] if line]
-    return "\n".join(kept)
+    size = np.array([len(x.text) for x in lines])
+    inner = np.array([x.inner for x in lines])
+    linked = np.array([x.linked for x in lines])
+    edge = np.flatnonzero(np.diff([x.run for x in lines])) + 1
+    begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(lines)]])
+    of_links = (np.add.reduceat(linked, begin) > LINKED * np.add.reduceat(size, begin)) & ~np.logical_or.reduceat(inner, begin)
+    if of_links.all():
+        of_links[:] = False
+    begin, end = begin[~of_links], end[~of_links]
+    weight = np.minimum(size - linked / 2, LONG)
+    if inner.any():
+        weight = np.where(inner, LONG, weight * OUTER)
+    # each line has the greatest of the windows that hold it
+    window = np.zeros(len(lines))
+    for a, b in zip(begin, end, strict=True):
+        sums = np.convolve(weight[a:b], np.ones(WINDOW), "full")
+        window[a:b] = np.lib.stride_tricks.sliding_window_view(sums, WINDOW).max(1)
+    bound = SHARE * float(np.average(window, weights=weight * (window > 0)))
+    dense = np.flatnonzero([window[a:b].max() >= bound for a, b in zip(begin, end, strict=True)])
+    surge, dive = dense[0], dense[-1]
+    while surge and all(x.heading for x in lines[begin[surge - 1] : end[surge - 1]]):
+        surge -= 1
+    return "\n".join(x.text for a, b in zip(begin[surge : dive + 1], end[surge : dive + 1], strict=True) for x in lines[a:b])
 
 
 def extract_text(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

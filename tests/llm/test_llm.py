@@ -243,6 +243,32 @@ def test_main_text_without_an_article_is_all_its_runs():
     assert html_text.main_text(page) == "\n".join(["Title", one.strip(), two.strip(), "1", "2", "a", "b", three.strip() + " more"])
 
 
+def test_main_text_is_decided_by_weights_not_by_elements_alone():
+    para = ["%s paragraph of the article that goes on for a while. " % n * 5 for n in ("first", "second", "third")]
+    want = "\n".join(["Title", *(x.strip() for x in para)])
+    body = "".join(f"<section><p>{x}</p></section>" for x in para)
+    assert html_text.main_text(f"<body><section><h1>Title</h1></section>{body}</body>") == want
+    # an article of the headline alone doesn't lose the body beside it, and a full one gains no teaser
+    assert html_text.main_text(f"<article><h1>Title</h1></article><div>{body}</div>") == want
+    assert html_text.main_text(f"<article><h1>Title</h1>{body}</article><div><p>Read our other page on this.</p></div>") == want
+    # names that only hold a mark remove nothing, names made of marks do
+    for name in ("social-science", "alert-study", "has-sidebar", "ad-free"):
+        assert html_text.main_text(f"<article><h1>Title</h1><div class='{name}'>{body}</div></article>") == want
+    for name in ("social-share", "ad-slot-3", "commentList", "site-footer", "x cookie_notice"):
+        assert html_text.main_text(f"<article><h1>Title</h1>{body}<div class='{name}'><p>{para[0]}</p></div></article>") == want
+    # an advert without an end hides its own text only
+    assert html_text.main_text(f"<div class='ad'>buy<article><h1>Title</h1>{body}</article>") == want
+    assert html_text.main_text(f"<div class='ad'>buy<h1>Title</h1>{body}") == want
+
+
+def test_main_text_of_a_table(spark):
+    pages = [(1, "u", None, "x"), (1, "u", None, "x"), (2, "v", "<p>a &amp; b</p>", "x"), (None, None, "<p>" + "long " * 50000 + "</p>", "x")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = sorted((str(r.page_id), len(r.text)) for r in html_text.extract_text(table).collect())
+    assert got == [("1", 0), ("1", 0), ("2", 5), ("None", 249999)]
+    assert html_text.extract_text(table.limit(0)).count() == 0
+
+
 def test_repeated_passages(spark):
     rng = random.Random(5)
     shared = prose(rng, 70)
