@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes and documents of one piece of a batch.
 PIECE_BYTES, PIECE_DOCS = 4 << 20, 4096
@@ -37,6 +38,38 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    name, taken = f"_{name}", {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of a key from which on it is split; keys that are split are at most this many, so they may be broadcast.
+SALT_ROWS, HOT_KEYS = 4096, 10_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined to right on key; right has a key once. Rows of frequent keys of left are dealt over salts.
+
+    A key is frequent with more than a HOT_KEYS-th of left's rows, and more than SALT_ROWS; each row of right with
+    such a key is there once for each of its salts. counts (key, n), of left's keys, spares reading left for
+    them. Null keys match nothing; with how left they stay, and are dealt over all partitions.
+    """
+    total = left.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
+    if total <= SALT_ROWS:
+        return left.join(right, key, how)
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    salts, salt = private(left, "salts"), private(left, "salt")
+    hot = counts.filter(F.col(key).isNotNull() & (F.col("n") > max(SALT_ROWS, total // HOT_KEYS)))
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("n") / SALT_ROWS).cast("long").alias(salts)))
+    dealt = F.xxhash64(*[c for c in left.columns if c != key])
+    rows = left.join(hot, key, "left").withColumn(salt, F.when(F.col(key).isNull(), dealt).otherwise(F.pmod(dealt, F.coalesce(salts, F.lit(1).cast("long"))))).drop(salts)
+    copies = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(salts, F.lit(1).cast("long")) - 1))).drop(salts)
+    return rows.join(copies, [key, salt], how).drop(salt)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

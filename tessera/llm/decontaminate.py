@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index of each training shard.
 
-A shard is a bounded run of rows of one partition. Its words become symbols of the benchmark's vocabulary;
+A shard is a bounded run of rows of one partition. What can't be part of an occurrence isn't indexed. Its words become symbols of the benchmark's vocabulary;
 runs of benchmark words that are long enough to hold a test phrase are indexed: suffix array, BWT, wavelet
 matrix for ranks, and the suffix positions at every SAMPLED-th place. All test phrases of one length are
 searched backwards at once, their occurrences are located by walking to sampled positions, and the spans of
@@ -21,9 +21,6 @@ WINDOW, SAMPLED = 10, 8
 #: Bytes of benchmark texts sent to the executors at once; a larger benchmark takes several passes.
 BENCH_BYTES = 32 << 20
 
-SCHEMA = "id {id}, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
-
-
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     buf, offs = C.text_bytes(pa.array(texts, pa.string()))
     folded = C.LOWER[buf]
@@ -71,7 +68,7 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """An index of a sequence of symbols >= 1, with 0 as its last."""
+    """An index of a sequence of symbols >= 1, with 0 as its last: the runs of benchmark words of a shard, not all of its words."""
 
     def __init__(self, seq: np.ndarray, symbols: int) -> None:
         suffixes = self.sort(seq)
@@ -159,13 +156,15 @@ def find_in_shard(words: np.ndarray, first: np.ndarray, phrases: Phrases) -> tup
     return np.cumsum(hit[:-1]) > 0, first, items
 
 
-def _pass(df: DataFrame, id_type: str, items: list[tuple], first_pass: bool) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast(items)
+def _pass(df: DataFrame, text_col: str, out: tuple[str, str, str], held, first_pass: bool) -> DataFrame:
+    """df with n_words, spans and items (named by out), or with what one more block of items (a broadcast) adds to them."""
+    names = [c for c in df.columns if c not in out]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches):
         phrases = Phrases(held.value)
         for batch in batches:
-            buf, offs = C.text_bytes(batch.column("text"))
+            buf, offs = C.text_bytes(batch.column(text_col))
             for lo, hi in C.pieces(offs):
                 part, own = batch.slice(lo, hi - lo), offs[lo : hi + 1]
                 folded = C.LOWER[buf[own[0] : own[-1]]]
@@ -173,7 +172,7 @@ def _pass(df: DataFrame, id_type: str, items: list[tuple], first_pass: bool) ->
                 mask, first, found = find_in_shard(C.word_hashes(folded, starts, ends), first, phrases)
                 n_words = np.diff(first)
                 if not first_pass:
-                    for k, (spans, have) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)):
+                    for k, (spans, have) in enumerate(zip(part.column(out[1]).to_pylist(), part.column(out[2]).to_pylist(), strict=True)):
                         found[k].update(have)
                         for s in spans:
                             mask[first[k] + s["first"] : first[k] + s["last"]] = True
@@ -183,30 +182,43 @@ def _pass(df: DataFrame, id_type: str, items: list[tuple], first_pass: bool) ->
                     m[1:-1] = mask[first[k] : first[k + 1]]
                     d = np.diff(m)
                     spans.append([{"first": a, "last": b} for a, b in zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)])
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("text"), pa.array(n_words), pa.array(spans, kind), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                    names=["id", "text", "n_words", "spans", "items"],
+                    [*(part.column(n) for n in names), pa.array(n_words), pa.array(spans, kind), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=[*names, *out]
                 )
 
-    return df.mapInArrow(run, SCHEMA.format(id=f"{id_type}, text string"))
+    kinds = ("long", "array<struct<first:int,last:int>>", "array<string>")
+    schema = df.select(*(F.col(f"`{n}`") for n in names), *(F.lit(None).cast(k).alias(n) for n, k in zip(out, kinds, strict=True))).schema
+    return df.mapInArrow(run, schema)
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", bench_bytes: int = BENCH_BYTES) -> DataFrame:
-    """(id, n_words, spans, items) per row of df: merged spans of hit words, [first, last), and the items found.
+def with_contamination(
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", bench_bytes: int = BENCH_BYTES, out: tuple[str, str, str] = ("n_words", "spans", "items")
+) -> DataFrame:
+    """df with its words' count, merged spans of hit words, [first, last), and the items found; rows aren't shuffled.
 
     Null texts have no words; items without words or without an id hit nothing. Repeated rows give
-    repeated rows, repeated items count once. A benchmark over bench_bytes is searched in blocks of items.
+    repeated rows, repeated items count once. Columns named like out are replaced. A benchmark over bench_bytes is
+    searched in blocks of items; the table is written between two blocks, and a block's items leave the executors.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    rows = df
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).dropna().distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // bench_bytes))
     for b in range(blocks):
         block = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        rows = _pass(rows, id_type, [tuple(x) for x in block.collect()], b == 0)
-    return rows.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+        held = df.sparkSession.sparkContext.broadcast([tuple(x) for x in block.collect()])
+        rows = _pass(rows, text_col, out, held, b == 0)
+        if b + 1 < blocks:
+            rows = C.materialise(rows)
+            held.unpersist()
+    return rows
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", bench_bytes: int = BENCH_BYTES) -> DataFrame:
+    """(id, n_words, spans, items) per row of df, by with_contamination()."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = with_contamination(rows, benchmark, "text", item_col, item_text, bench_bytes)
+    return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
 def contamination_report(df: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,10 +230,13 @@ def contamination_report(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df none of whose words is hit; rows without an id are judged by their text as well."""
-    clean = contamination(df, benchmark, id_col, text_col).filter(F.size("spans") > 0).select(F.col(id_col).alias("_hit")).distinct()
-    return df.join(clean, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of df none of whose words is hit, each judged by its own text, whatever its id; null texts stay.
+
+    Repeated rows share their fate. Any column names may stand beside; an empty table gives an empty table.
+    """
+    out = tuple(C.private(df, n) for n in ("n_words", "spans", "items"))
+    return with_contamination(df, benchmark, text_col, out=out).filter(F.size(out[1]) == 0).drop(*out)
 
 
 #: Windows are joined as strings of their words, one space between two.

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import common as C
+
 #: Rows of one salt of a hot digest.
 SALT_ROWS = 4096
 #: Hot digests are at most this many: a digest is hot with more than rows / MAX_HOT rows.
@@ -61,12 +63,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of df that stay, with all their columns; of each group of equal texts the largest id.
 
     A row is known by its id and its text's digest, so an id that stands for several texts, or no id, keeps
-    each of them; of rows that agree in both, one stays.
+    each of them; of rows that agree in both, one stays. Null texts count as empty. Any column names may stand
+    beside; an empty table gives an empty table.
     """
+    name, sha = C.private(df, "drop"), C.private(df, "sha")
     lost = exact_groups(df, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("keep_id")))
-    drop = lost.select(F.col(id_col).alias("_drop"), F.col("text_sha256").alias("_drop_sha")).distinct()
-    once = df.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "_sha"])
-    return once.join(drop, F.col(id_col).eqNullSafe(F.col("_drop")) & (F.col("_sha") == F.col("_drop_sha")), "left_anti").drop("_sha")
+    drop = lost.select(F.col(id_col).alias(name), F.col("text_sha256").alias(f"{name}_sha")).distinct()
+    once = df.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, sha])
+    return once.join(drop, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(sha) == F.col(f"{name}_sha")), "left_anti").drop(sha)
 
 
 SQL = """

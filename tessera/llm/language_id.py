@@ -23,6 +23,8 @@ SHARES = 1 << 30
 NOISE = -1.0
 #: How often a declaration is right; rows that a parent's distribution weighs in a smoothed prior.
 DECLARED_RIGHT, SMOOTHING = 0.9, 20.0
+#: Salts that rows of one text are dealt over when verdicts are joined.
+DEALT = 16
 
 
 def _gram_sums(buf: np.ndarray, offs: np.ndarray):
@@ -92,6 +94,11 @@ def text_evidence(df: DataFrame, langs: list[str], table: np.ndarray) -> DataFra
     return df.mapInArrow(run, f"{kinds}, grams long, logs array<double>")
 
 
+def language_code(c):
+    """The primary subtag of a declaration: its letters before a - or _, lower-cased; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(c, r"^\s*([A-Za-z]{2,8})(?:[-_].*)?\s*$", 1)), F.lit(""))
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id, language, confidence, text_language, accepted) per row.
 
@@ -102,7 +109,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     """
     suffix = F.col(suffix_col) if suffix_col else F.lit(None)
     rows = df.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.substring(declared_col, 1, 2)).alias("declared"), F.col(host_col).cast("string").alias("host"), suffix.cast("string").alias("suffix"),
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), language_code(F.col(declared_col)).alias("declared"), F.col(host_col).cast("string").alias("host"), suffix.cast("string").alias("suffix"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
     )
     langs, table = fit(rows, "text", "declared", fit_rows)
@@ -125,7 +132,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
         return F.zip_with(n, parent, lambda c, p: (c + SMOOTHING * p) / (total + SMOOTHING))
 
     uniform = F.array(*[F.lit(1.0 / len(langs))] * len(langs))
-    joined = said.join(counted("host"), "host", "left").join(counted("suffix"), "suffix", "left").crossJoin(F.broadcast(counted()))
+    joined = C.salted_join(C.salted_join(said, counted("host"), "host", "left"), counted("suffix"), "suffix", "left", said.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))).crossJoin(F.broadcast(counted()))
     joined = joined.withColumn("p_all", smooth("n_all", uniform)).withColumn("p_suffix", smooth("n_suffix", F.col("p_all"))).withColumn("p_host", smooth("n_host", F.col("p_suffix")))
     wrong = (1 - DECLARED_RIGHT) / max(1, len(langs) - 1)
     names = F.array(*map(F.lit, langs))
@@ -146,7 +153,17 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     )
 
 
-def keep_identified(df: DataFrame) -> DataFrame:
-    """The documents that identify() accepts; rows without an id are judged as one."""
-    out = identify(df).filter("not accepted").select(F.col("doc_id").alias("_out")).distinct()
-    return df.join(out, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+def keep_identified(df: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """The rows of df that identify() accepts, each judged by its own text, declaration and host, whatever its id.
+
+    Repeated rows share their fate; null and blank texts go. Any column names may stand beside; an empty table
+    gives an empty table. Verdicts are joined by a digest of what they were made from, dealt over DEALT salts, as
+    one text may be a third of all rows.
+    """
+    key, salt, drop = (C.private(df, n) for n in ("key", "salt", "drop"))
+    told = F.array(*[F.coalesce(F.sha2(F.col(f"`{c}`").cast("string"), 256), F.lit("")) for c in (text_col, declared_col, host_col)])
+    rows = df.withColumn(key, F.sha2(F.array_join(told, ","), 256))
+    judged = identify(rows, key, text_col, declared_col, host_col).filter("not accepted").select(F.col(key).alias(drop)).distinct()
+    judged = judged.withColumn(f"{drop}_salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(DEALT)).cast("int"))
+    return rows.join(judged, (F.col(key) == F.col(drop)) & (F.col(salt) == F.col(f"{drop}_salt")), "left_anti").drop(key, salt)

@@ -164,10 +164,10 @@ def sizes_allow(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (id, other) whose signatures leave the threshold plausible."""
+    """The pairs (id, other) whose signatures leave the threshold plausible; other may be the same for many."""
     x = reps.select("id", F.col("n_shingles").alias("n"), F.col("sig").alias("s"))
     y = reps.select(F.col("id").alias("other"), F.col("n_shingles").alias("m"), F.col("sig").alias("t"))
-    both = pairs.join(x, "id").join(y, "other").filter(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
+    both = C.salted_join(pairs, y, "other").join(x, "id").filter(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
 
     def run(batch):
         keep = plausible(signatures(batch.column("s")), signatures(batch.column("t")))
@@ -185,7 +185,9 @@ def shingle_set(text: str) -> set:
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold; texts has (id, text)."""
-    both = pairs.join(texts.withColumnRenamed("text", "text_a"), "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("text_b")), "other")
+    pairs = C.materialise(pairs)
+    counts = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
+    both = C.salted_join(pairs.join(texts.withColumnRenamed("text", "text_a"), "id"), texts.select(F.col("id").alias("other"), F.col("text").alias("text_b")), "other", counts=counts)
 
     def run(batch):
         held, sets, keep = None, set(), []
@@ -226,7 +228,7 @@ def block_pairs(members: DataFrame, reps: DataFrame, block: int, best: int, text
     returned; texts has (id, text).
     """
     count = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = members.join(count, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = C.salted_join(members, count, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "id", "comp")
     rows = rows.join(reps.select("id", "n_shingles", "sig"), "id")
@@ -286,9 +288,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     reps = C.materialise(some.join(first, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "sig"))
 
     banded = bands(reps)
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = C.materialise(banded.join(buckets.select("bucket", "other"), "bucket"))
-    stars = members.filter("id <> other").select("id", "other").distinct()
+    buckets = C.materialise(banded.groupBy("bucket").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sizes = buckets.select("bucket", "n")
+    members = C.materialise(C.salted_join(banded, buckets.select("bucket", "other"), "bucket", counts=sizes))
+    stars = C.materialise(members.filter("id <> other").select("id", "other").distinct())
     # merged at every size: the hint keeps the plan from turning with the number of members
     shared = members.select("id").distinct().hint("merge")
     texts = C.materialise(docs.filter("id is not null").join(shared, "id", "left_semi"))
@@ -298,9 +301,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     def open_buckets() -> DataFrame:
         """The members of the buckets that one component doesn't cover."""
         placed = members.select("bucket", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-        placed = placed.withColumn("comp", F.coalesce("component", "id")).select("bucket", "id", "comp")
+        placed = C.materialise(placed.withColumn("comp", F.coalesce("component", "id")).select("bucket", "id", "comp"))
         several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        return C.materialise(placed.join(several.select("bucket"), "bucket"))
+        return C.materialise(C.salted_join(placed, several.select("bucket"), "bucket", counts=sizes))
 
     # each row's most alike partners first, as their links leave few components apart
     near = C.materialise(block_pairs(open_buckets(), reps, block, BEST))
@@ -322,6 +325,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay: one document of each group, that of the smallest id."""
-    drop = near_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_drop")).distinct()
-    return df.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    """The rows of df that stay: one document of each group, that of the smallest id.
+
+    An id is one document with one text: repeated rows of an id that stays all stay (exact dedup takes those), as
+    do rows without an id and rows without words. An id with several texts is compared by one of them. An empty table gives an empty table. Any column names may stand beside.
+    """
+    name = C.private(df, "drop")
+    drop = near_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias(name)).distinct()
+    return df.join(drop, F.col(id_col) == F.col(name), "left_anti")

@@ -45,7 +45,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages: the html element's lang, the host of the url and its last label."""
     pages = _html.extract_text(_table(spark, sf_dir, "pages"))
-    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-z]{2})", 1)
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-z-]{2,})", 1)
     host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
     pages = pages.select("page_id", "text", F.nullif(declared, F.lit("")).alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"))
     return _language.identify(pages, "page_id", "text", "declared", "host", "suffix")

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, components, decontaminate, exact_dedup, html_text, language_id, lm_score, minhash, quality, queries, suffix_dedup, token_counts
+from tessera.llm import bpe, common, components, decontaminate, exact_dedup, html_text, language_id, lm_score, minhash, quality, queries, suffix_dedup, token_counts
 
 DOC = "doc_id long, text string, kept string"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -114,7 +114,7 @@ def test_near_groups(spark, block):
 def test_near_groups_of_nothing(spark):
     assert minhash.near_groups(docs(spark, ["a"]).limit(0)).count() == 0
     rows = minhash.near_groups(spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("1", "1", True), ("1", "1", True), ("None", "1", True)] or len(rows) == 3
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles, r.kept) for r in rows) == [("1", "1", 2, True), ("1", "1", 2, True), ("None", "1", 2, True)]
 
 
 def test_components(spark):
@@ -161,6 +161,68 @@ def test_language(spark, sf):
     assert language_id.identify(table.limit(0)).count() == 0
 
 
+def test_language_without_declarations(spark, sf):
+    """The declaration is withheld, or wrong, and not the label that is checked."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    for every, told in ((2, F.lit(None).cast("string")), (5, F.when(F.col("lang") == "en", "fr").otherwise("en"))):
+        hidden = F.col("doc_id") % every == 0
+        got = {r.doc_id: r for r in language_id.identify(table.withColumn("lang", F.when(hidden, told).otherwise(F.col("lang")))).collect()}
+        rows = [r for r in table.filter(hidden).collect() if len(r.text.split()) >= 20]
+        assert sum(got[r.doc_id].text_language == r.lang for r in rows) >= 0.95 * len(rows)
+        assert sum(got[r.doc_id].language == r.lang for r in rows) >= 0.95 * len(rows)
+
+
+def test_declared_codes_are_whole(spark):
+    codes = ["fil", "fi", "EN-us", "pt_BR", " de ", "x", "", None, "12"]
+    got = spark.createDataFrame([(c,) for c in codes], "c string").select(language_id.language_code(F.col("c"))).collect()
+    assert [r[0] for r in got] == ["fil", "fi", "en", "pt", "de", None, None, None, None]
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcd ") for _ in range(300)), "fil", "s") for i in range(20)] + [(50 + i, "".join(rng.choice("wxyz ") for _ in range(300)), "fi", "s") for i in range(20)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.language == ("fil" if r.doc_id < 50 else "fi") for r in got)
+
+
+CLASHES = ["_drop", "_hit", "_out", "_sha", "_key", "_salt", "_n", "_id", "_text", "spans", "items", "n_words", "id", "kept", "words", "n_shingles", "lang", "source"]
+
+
+def test_stages_judge_rows_and_take_any_column_names(spark):
+    """Null ids, ids of several texts, repeated rows and clashing names."""
+    rng = random.Random(30)
+    item = prose(rng, 14)
+    clean, leak, other = prose(rng, 40), prose(rng, 20) + " " + item, prose(rng, 40)
+    rows = [(None, clean), (None, leak), (7, clean + " more"), (7, leak + " x"), (7, other), (8, "12 .. 34"), (8, other + " y"), (9, None), (10, ""), (11, other), (11, other)]
+    wide = [(i, t, *("fr" if c == "lang" else "s" for c in CLASHES)) for i, t in rows]
+    table = spark.createDataFrame(wide, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    def left(out):
+        assert out.columns == table.columns
+        return collections.Counter((r.doc_id, r.text) for r in out.collect())
+
+    every = collections.Counter(rows)
+    assert left(decontaminate.drop_contaminated(table, bench)) == every - collections.Counter({(None, leak): 1, (7, leak + " x"): 1})
+    assert left(language_id.keep_identified(table)) == every - collections.Counter({(8, "12 .. 34"): 1, (9, None): 1, (10, ""): 1})
+    assert left(exact_dedup.exact_dedup(table)) == every - collections.Counter({(7, other): 1, (11, other): 1, (9, None): 1})
+    alone = table.filter("doc_id <> 7 and text <> '12 .. 34' or doc_id is null or text is null")
+    assert left_of_near(minhash.near_dedup(alone)) == {(None, clean), (None, leak), (8, other + " y"), (9, None), (10, "")}
+    for stage in (lambda t: decontaminate.drop_contaminated(t, bench), language_id.keep_identified, exact_dedup.exact_dedup, minhash.near_dedup):
+        assert stage(table.limit(0)).count() == 0
+
+
+def left_of_near(out):
+    return {(r.doc_id, r.text) for r in out.collect()}
+
+
+def test_salted_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "SALT_ROWS", 8)
+    left = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 50 + [2] * 9 + [3] * 3 + [None] * 30 + [4])], "i int, k int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, "e"), (None, "n")], "k int, v string")
+    for how in ("inner", "left"):
+        for counts in (None, left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))):
+            got = common.salted_join(left, right, "k", how, counts).select("i", "k", "v").collect()
+            assert sorted(map(str, got)) == sorted(map(str, left.join(right, "k", how).select("i", "k", "v").collect()))
+
+
 def test_rare_languages_have_a_table_and_stay(spark):
     rng = random.Random(9)
     greek = ["".join(rng.choice("αβγδεζηθ ") for _ in range(600)) for _ in range(3)]
