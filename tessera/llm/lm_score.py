@@ -1,14 +1,15 @@
 """Stupid-backoff scores: counts of n-grams partitioned by hash, joined to the documents' n-grams, summed.
 
 A document's n-grams are exploded within a block of documents of one task: for each hash partition one row
-with the block's distinct n-grams, how often each occurs, and the documents they occur in. A partition's
-task adds up its part of the count table from all blocks, joins it to the same n-grams, and gives each
-document its part of the sum. Rows are packed, so an occurrence takes a few bytes, and a frequent n-gram is
-one entry of a block, however often it occurs. A block is known by its partition and its number there; rows
-are sorted within a partition, so a task that runs again makes the same blocks.
-
-self_scores() scores a table by its own counts; every pair of words is then in the table, and no score
-falls back. score_against() scores one table by the counts of another and falls back where it must.
+with the block's distinct words and pairs of words, and how often each occurs. A partition's task adds up its
+part of the count table from all blocks, joins it to the same n-grams, and sends the counts back. A block's task
+then scores its documents, each by the counts of all other documents: what a document adds to a count is
+taken off, so a pair that no other document has falls back to its second word. Rows are packed, so an n-gram takes a few
+bytes, and a frequent one is one entry of a block, however often it occurs. A block is known by its
+partition and its number there; rows are sorted within a partition, so a task that runs again makes the
+same blocks.
+
+score_against() scores one table by the counts of another.
 """
 
 from __future__ import annotations
@@ -21,41 +22,45 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
-#: Factor of a score that falls back to the single word; words and documents of a block at most.
-ALPHA, BLOCK_WORDS, BLOCK_DOCS = 0.4, 1 << 20, 1 << 15
+#: Factor of a score that falls back to the single word, occurrences that an unknown word counts as; words and documents of a block at most.
+ALPHA, UNKNOWN, BLOCK_WORDS, BLOCK_DOCS = 0.4, 0.5, 1 << 20, 1 << 15
 #: Bytes of text for each hash partition, and the least number of partitions.
 PART_BYTES, LEAST_PARTS = 32 << 20, 64
 
-PACKED = "part int, block long, keys binary, n binary, docs binary, ids binary"
-KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+#: Rows to a partition have keys and n; one row of a block has its ids, lengths, distinct words and its words as places among those.
+PACKED = "part int, block long, keys binary, n binary, ids binary, sizes binary, places binary"
+KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+NAMES = PACKED.replace(",", "").split()[::2]
 
 
-def _batch(rows: list[tuple], names: list[str], kinds) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+def _rows(rows: list[tuple]) -> list[pa.Array]:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(NAMES)
+    return [pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)]
+
+
+def _pairs_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs of neighbouring words of documents of these sizes, which are odd, and the place of each pair's first word."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.flatnonzero(doc[1:] == doc[:-1])
+    return C.run_hashes(words, 2)[first] | np.uint64(1), first
 
 
 def pack(rows: DataFrame, parts: int) -> DataFrame:
-    """(id, text) as packed n-grams: even keys are words that have a successor, odd keys pairs of words."""
-    names = PACKED.replace(",", "").split()[::2]
+    """(id, text) as packed n-grams: even keys are words, odd keys pairs of words."""
 
-    def emit(number, keys, docs, ids):
-        order = np.argsort(keys)
-        keys, docs = keys[order], docs[order].astype(np.uint16)
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        at = np.flatnonzero(new)
-        uniq, n = keys[at], np.diff(np.append(at, len(keys))).astype(np.uint32)
+    def emit(number, words, sizes, ids):
         # mix is one to one, so blocks have different names, and they are dealt evenly
         block = int(C.signed(C.mix(np.array([TaskContext.get().partitionId() << 32 | number], np.uint64)))[0])
+        one, place, n_one = np.unique(words, return_inverse=True, return_counts=True)
+        two, n_two = np.unique(_pairs_of(words, sizes)[0], return_counts=True)
+        keys, n = np.concatenate([one, two]), np.concatenate([n_one, n_two]).astype(np.uint32)
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
         # the high bits of a key say its partition, so that partitions are runs of the sorted keys
-        cut = np.append(np.searchsorted(uniq, np.array([p * 2**64 // parts for p in range(parts)], np.uint64)), len(uniq))
-        where = np.append(at, len(keys))
-        yield _batch([(block % parts, block, b"", b"", b"", ids.tobytes())], names, KINDS)
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if b > a:
-                yield _batch([(p, block, uniq[a:b].tobytes(), n[a:b].tobytes(), docs[where[a] : where[b]].tobytes(), b"")], names, KINDS)
+        cut = np.append(np.searchsorted(keys, np.array([p * 2**64 // parts for p in range(parts)], np.uint64)), len(keys))
+        out = [(block % parts, block, one.tobytes(), b"", ids.tobytes(), sizes.astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes())]
+        out += [(p, block, keys[cut[p] : cut[p + 1]].tobytes(), n[cut[p] : cut[p + 1]].tobytes(), b"", b"", b"") for p in range(parts) if cut[p + 1] > cut[p]]
+        return pa.RecordBatch.from_arrays(_rows(out), names=NAMES)
 
     def run(batches):
         held, n_words, n_docs, number = [], 0, 0, 0
@@ -63,78 +68,85 @@ def pack(rows: DataFrame, parts: int) -> DataFrame:
             buf, offs = C.text_bytes(batch.column("text"))
             for lo, hi in C.pieces(offs):
                 starts, ends, first = C.word_spans(buf, offs[lo : hi + 1], C.NOT_SPACE)
-                words, n = C.word_hashes(buf, starts, ends), hi - lo
-                doc = np.repeat(np.arange(n) + n_docs, np.diff(first))
-                inside = doc[1:] == doc[:-1]
-                doc = doc[:-1][inside]
-                keys = np.concatenate([words[:-1][inside] & ~np.uint64(1), C.run_hashes(words, 2)[inside[: max(0, len(words) - 1)]] | np.uint64(1)])
-                held.append((keys, np.concatenate([doc, doc]), batch.column("id").slice(lo, n).to_numpy()))
-                n_words, n_docs = n_words + len(words), n_docs + n
+                held.append((C.word_hashes(buf, starts, ends) & ~np.uint64(1), np.diff(first), batch.column("id").slice(lo, hi - lo).to_numpy()))
+                n_words, n_docs = n_words + len(starts), n_docs + hi - lo
                 if n_words >= BLOCK_WORDS or n_docs >= BLOCK_DOCS:
-                    yield from emit(number, *(np.concatenate([h[k] for h in held]) for k in range(3)))
+                    yield emit(number, *(np.concatenate([h[k] for h in held]) for k in range(3)))
                     held, n_words, n_docs, number = [], 0, 0, number + 1
         if held:
-            yield from emit(number, *(np.concatenate([h[k] for h in held]) for k in range(3)))
+            yield emit(number, *(np.concatenate([h[k] for h in held]) for k in range(3)))
 
     return rows.sortWithinPartitions("id", "text").mapInArrow(run, PACKED)
 
 
 def _join_counts(table: pa.Table) -> pa.Table:
-    """One partition: its counts over all blocks, and for each block the sums of its documents."""
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    ns = [np.frombuffer(k, np.uint32) for k in table.column("n").to_pylist()]
-    everything, times = np.concatenate(keys), np.concatenate(ns)
-    uniq, inverse = np.unique(everything, return_inverse=True)
-    log_count = np.log(np.bincount(inverse, weights=times, minlength=len(uniq)))
-    sign = np.where(uniq & np.uint64(1), 1.0, -1.0)
-    value, at, out = (sign * log_count)[inverse], 0, []
-    odd = (everything & np.uint64(1)).astype(bool)
-    for k, n, docs, block, ids in zip(keys, ns, table.column("docs").to_pylist(), table.column("block").to_pylist(), table.column("ids").to_pylist(), strict=True):
-        if ids:
-            out.append((block, b"", b"", b"", ids))
-        if len(k):
-            d = np.frombuffer(docs, np.uint16)
-            sums = np.bincount(d, weights=np.repeat(value[at : at + len(k)], n))
-            pairs = np.bincount(d, weights=np.repeat(odd[at : at + len(k)], n)).astype(np.uint32)
-            has = np.unique(d)
-            out.append((block, has.tobytes(), sums[has].tobytes(), pairs[has].tobytes(), b""))
-        at += len(k)
-    cols = list(zip(*out, strict=True))
-    kinds = (pa.int64(), *[pa.binary()] * 4)
-    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["block", "docs", "sums", "pairs", "ids"])
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-    lists = {c: table.column(c).to_pylist() for c in ("docs", "sums", "pairs")}
-    score, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    for d, s, p in zip(*lists.values(), strict=True):
-        d = np.frombuffer(d, np.uint16)
-        score[d] += np.frombuffer(s, np.float64)
-        n[d] += np.frombuffer(p, np.uint32)
-    return pa.table({"id": ids, "n_scored": n, "log_score": score})
+    """One partition: its counts over all blocks, sent back to each block in the order of its keys."""
+    lists = [table.column(c).to_pylist() for c in NAMES]
+    rows = [r for r in zip(*lists, strict=True) if r[3]]
+    out = [r for r in zip(*lists, strict=True) if not r[3]]
+    if rows:
+        keys = np.frombuffer(b"".join(r[2] for r in rows), np.uint64)
+        _, which = np.unique(keys, return_inverse=True)
+        total = np.bincount(which, weights=np.frombuffer(b"".join(r[3] for r in rows), np.uint32))
+        at = 0
+        for part, block, own, *_ in rows:
+            size = len(own) // 8
+            out.append((part, block, b"", total[which[at : at + size]].tobytes(), b"", b"", b""))
+            at += size
+    return pa.Table.from_arrays(_rows(out), names=NAMES)
+
+
+def _others(total: np.ndarray, doc: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """For each occurrence of an n-gram (which) in a document: its count in all other documents."""
+    _, own, times = np.unique(doc.astype(np.uint64) << np.uint64(32) | which.astype(np.uint64), return_inverse=True, return_counts=True)
+    return total[which] - times[own]
+
+
+def _score_block(n_words: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True), key=lambda r: (bool(r[3]), r[0]))
+        [(_, _, one, _, ids, sizes, place), *counted] = rows
+        one, ids = np.frombuffer(one, np.uint64), np.frombuffer(ids, np.int64)
+        sizes, place = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(place, np.uint32).astype(np.int64)
+        count = np.frombuffer(b"".join(r[3] for r in counted), np.float64)
+        pairs, first = _pairs_of(one[place], sizes)
+        two, which = np.unique(pairs, return_inverse=True)
+        keys = np.sort(np.concatenate([one, two]))
+        count_one, count_two = count[np.searchsorted(keys, one)], count[np.searchsorted(keys, two)]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        single = _others(count_one, doc, place)
+        double, own = _others(count_two, doc[first], which), doc[first]
+        seen = double > 0
+        known = np.log(np.where(seen, double, 1) / np.where(seen, single[first], 1))
+        back = np.log(ALPHA * np.maximum(single[first + 1], UNKNOWN) / np.maximum(n_words - sizes[own], 1))
+        score = np.bincount(own, weights=np.where(seen, known, back), minlength=len(ids))
+        fell = np.bincount(own, weights=~seen, minlength=len(ids)).astype(np.int64)
+        return pa.table({"id": ids, "n_scored": np.maximum(sizes - 1, 0), "n_backed_off": fell, "log_score": score})
+
+    return run
 
 
 def self_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_scored, log_score, mean_log_score) per row: each word after the first given the one before it.
+    """(id, n_scored, n_backed_off, log_score, mean_log_score) per row: each word after the first given the one before it.
 
-    Words are `[^\\x20\\x09-\\x0D]+`, as they stand but for A-Z, which are lower-cased; counts are over all rows
-    of df. Null texts and texts of one word have nothing scored, a sum of 0 and no mean. Rows without an id
-    are left out of scores and counts.
+    Words are `[^\\x20\\x09-\\x0D]+`, as they stand but for A-Z, which are lower-cased. A row is scored by the counts
+    c of all other rows of df: a pair (v, w) has c(v w) / c(v) if another row has it, else ALPHA * c(w) / N, where a
+    word of no other row counts UNKNOWN. Null texts and texts of one word have nothing scored, a sum of 0 and no
+    mean. Repeated rows are others of each other. Rows without an id are left out of scores and counts.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = pack(rows, max(LEAST_PARTS, size // PART_BYTES))
-    sums = packed.groupBy("part").applyInArrow(_join_counts, "block long, docs binary, sums binary, pairs binary, ids binary")
-    scores = sums.groupBy("block").applyInArrow(_add_up, "id long, n_scored long, log_score double")
+    size, n_words = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
+    packed = pack(rows, max(LEAST_PARTS, (size or 0) // PART_BYTES))
+    counted = packed.groupBy("part").applyInArrow(_join_counts, PACKED)
+    scores = counted.groupBy("block").applyInArrow(_score_block(n_words or 0), "id long, n_scored long, n_backed_off long, log_score double")
     return scores.select(
-        F.col("id").alias(id_col), "n_scored", F.round("log_score", 6).alias("log_score"),
+        F.col("id").alias(id_col), "n_scored", "n_backed_off", F.round("log_score", 6).alias("log_score"),
         F.when(F.col("n_scored") > 0, F.round(F.col("log_score") / F.col("n_scored"), 6)).alias("mean_log_score"),
     )
 
 
 def ngram_counts(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(w, c) and (v, w, c): the words and the pairs of neighbouring words of a table."""
+    """(w, c) and (v, w, c): the words and the pairs of neighbouring words of a table; null texts have none."""
     words = df.select(_words(text_col).alias("ws"))
     ones = words.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
     return ones, words.select(F.inline(_pairs("ws"))).groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"))
@@ -154,14 +166,14 @@ def score_against(df: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text
     """(id, n_scored, log_score) per id of df by the counts of corpus, as joins.
 
     A pair (v, w) has the score c(v w) / c(v) if it is in the corpus, else alpha * c(w) / N; a word that isn't
-    there either counts as half an occurrence.
+    there either counts UNKNOWN. Null texts and texts of one word have nothing scored; rows of one id are added up.
     """
     ones, twos = ngram_counts(corpus, text_col)
     total = ones.agg(F.sum("c").alias("total"))
-    starts = twos.groupBy("v").agg(F.sum("c").alias("cv"))
+    starts = ones.select(F.col("w").alias("v"), F.col("c").alias("cv"))
     grams = df.select(id_col, F.inline(_pairs("ws"))) if "ws" in df.columns else df.select(id_col, _words(text_col).alias("ws")).select(id_col, F.inline(_pairs("ws")))
     grams = grams.groupBy(id_col, "v", "w").agg(F.count(F.lit(1)).alias("times"))
     joined = grams.join(twos.withColumnRenamed("c", "cvw"), ["v", "w"], "left").join(starts, "v", "left").join(ones, "w", "left").crossJoin(F.broadcast(total))
-    log = F.when(F.col("cvw").isNotNull(), F.log(F.col("cvw") / F.col("cv"))).otherwise(F.log(alpha * F.coalesce("c", F.lit(0.5)) / F.col("total")))
+    log = F.when(F.col("cvw").isNotNull(), F.log(F.col("cvw") / F.col("cv"))).otherwise(F.log(alpha * F.coalesce("c", F.lit(UNKNOWN)) / F.col("total")))
     scored = joined.groupBy(id_col).agg(F.sum("times").alias("n_scored"), F.round(F.sum(F.col("times") * log), 6).alias("log_score"))
     return df.select(id_col).distinct().join(scored, id_col, "left").select(id_col, F.coalesce("n_scored", F.lit(0)).alias("n_scored"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))

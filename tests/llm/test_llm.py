@@ -255,18 +255,33 @@ def test_quality_held_out(spark):
     assert len(scored) == len(EDGE) and all(0 <= r.score <= 1 for r in scored)
 
 
-def test_lm_scores(spark):
-    rng = random.Random(8)
-    texts = EDGE + [prose(rng, 30) for _ in range(20)] * 2
-    got = {r.doc_id: r for r in lm_score.self_scores(docs(spark, texts)).collect()}
-    split = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
-    pairs, starts = collections.Counter(), collections.Counter()
-    for w in split.values():
+def lm_by_brute_force(texts):
+    """Each text by the counts of all others: (scored, backed off, sum)."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    pairs, words = collections.Counter(), collections.Counter()
+    for w in split:
         pairs.update(zip(w, w[1:], strict=False))
-        starts.update(w[:-1])
-    for i, w in split.items():
-        want = sum(math.log(pairs[p] / starts[p[0]]) for p in zip(w, w[1:], strict=False))
-        assert got[i].log_score == pytest.approx(want, abs=1e-4) and got[i].n_scored == max(0, len(w) - 1)
+        words.update(w)
+    out, total = [], sum(words.values())
+    for w in split:
+        own, single, score, back = collections.Counter(zip(w, w[1:], strict=False)), collections.Counter(w), 0.0, 0
+        for v, x in zip(w, w[1:], strict=False):
+            if pairs[v, x] > own[v, x]:
+                score += math.log((pairs[v, x] - own[v, x]) / (words[v] - single[v]))
+            else:
+                back, score = back + 1, score + math.log(0.4 * max(words[x] - single[x], 0.5) / max(1, total - len(w)))
+        out.append((max(0, len(w) - 1), back, pytest.approx(score, abs=1e-4)))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_lm_scores(spark, blocks):
+    rng = random.Random(8)
+    texts = EDGE + [prose(rng, 30) for _ in range(20)] * 2 + [" ".join(rng.choice("ab cd ef gh".split()) for _ in range(60)) for _ in range(9)] + [prose(rng, 40) for _ in range(5)]
+    got = {r.doc_id: r for r in lm_score.self_scores(docs(spark, texts).repartition(blocks)).collect()}
+    want = lm_by_brute_force(texts)
+    assert [(got[i].n_scored, got[i].n_backed_off, got[i].log_score) for i in range(len(texts))] == want
+    assert sum(w[1] for w in want) > 100
     small = spark.createDataFrame([(1, "a b zz")], "doc_id long, text string")
     corpus = spark.createDataFrame([("a b a c",)], "text string")
     back = lm_score.score_against(small, corpus).first()
@@ -277,9 +292,10 @@ def test_lm_scores(spark):
 def test_lm_scores_of_equal_and_falling_ids(spark):
     texts = [prose(random.Random(i), 12) for i in range(10)]
     table = docs(spark, texts).coalesce(1)
-    once = {r.doc_id: (r.n_scored, r.log_score) for r in lm_score.self_scores(table).collect()}
     twice = lm_score.self_scores(table.union(table)).collect()
-    assert sorted((r.doc_id, r.n_scored, r.log_score) for r in twice) == sorted((i, *x) for i, x in once.items() for _ in range(2))
+    want = lm_by_brute_force(texts + texts)
+    assert all((r.n_scored, r.n_backed_off, r.log_score) == want[r.doc_id] and r.n_backed_off == 0 for r in twice) and len(twice) == 20
+    once = {r.doc_id: (r.n_scored, r.log_score) for r in lm_score.self_scores(table).collect()}
     falling = [spark.createDataFrame([(i, texts[i], "x") for i in ids], DOC).coalesce(1) for ids in ((9, 8), (7, 6), (5, 4), (3, 2), (1, 0))]
     for t in falling[1:]:
         falling[0] = falling[0].union(t)
