@@ -27,12 +27,24 @@ ALPHA, UNKNOWN, BLOCK_WORDS, BLOCK_DOCS = 0.4, 0.5, 1 << 20, 1 << 15
 #: Bytes of text for each hash partition, and the least number of partitions.
 PART_BYTES, LEAST_PARTS = 32 << 20, 64
 
-#: Rows to a partition have keys and n; one row of a block has its ids, lengths, distinct words and its words as places among those.
+#: Rows to a partition have the steps from key to key and n; one row of a block has its ids, lengths, distinct words and its words as places among those.
 PACKED = "part int, block long, keys binary, n binary, ids binary, sizes binary, places binary"
 KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
 NAMES = PACKED.replace(",", "").split()[::2]
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, lowest first, as many as the largest needs; planes of small numbers compress well."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T
+    return out.view("<u8").ravel()
+
+
 def _rows(rows: list[tuple]) -> list[pa.Array]:
     cols = list(zip(*rows, strict=True)) or [[]] * len(NAMES)
     return [pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)]
@@ -53,13 +65,15 @@ def pack(rows: DataFrame, parts: int) -> DataFrame:
         block = int(C.signed(C.mix(np.array([TaskContext.get().partitionId() << 32 | number], np.uint64)))[0])
         one, place, n_one = np.unique(words, return_inverse=True, return_counts=True)
         two, n_two = np.unique(_pairs_of(words, sizes)[0], return_counts=True)
-        keys, n = np.concatenate([one, two]), np.concatenate([n_one, n_two]).astype(np.uint32)
+        keys, n = np.concatenate([one, two]), np.concatenate([n_one, n_two])
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         # the high bits of a key say its partition, so that partitions are runs of the sorted keys
         cut = np.append(np.searchsorted(keys, np.array([p * 2**64 // parts for p in range(parts)], np.uint64)), len(keys))
-        out = [(block % parts, block, one.tobytes(), b"", ids.tobytes(), sizes.astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes())]
-        out += [(p, block, keys[cut[p] : cut[p + 1]].tobytes(), n[cut[p] : cut[p + 1]].tobytes(), b"", b"", b"") for p in range(parts) if cut[p + 1] > cut[p]]
+        out = [(block % parts, block, squeeze(np.diff(one, prepend=np.uint64(0))), b"", ids.tobytes(), squeeze(sizes), squeeze(place))]
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            own = slice(cut[p], cut[p + 1])
+            out.append((p, block, squeeze(np.diff(keys[own], prepend=np.uint64(0))), squeeze(n[own]), b"", b"", b""))
         return pa.RecordBatch.from_arrays(_rows(out), names=NAMES)
 
     def run(batches):
@@ -85,14 +99,14 @@ def _join_counts(table: pa.Table) -> pa.Table:
     rows = [r for r in zip(*lists, strict=True) if r[3]]
     out = [r for r in zip(*lists, strict=True) if not r[3]]
     if rows:
-        keys = np.frombuffer(b"".join(r[2] for r in rows), np.uint64)
-        _, which = np.unique(keys, return_inverse=True)
-        total = np.bincount(which, weights=np.frombuffer(b"".join(r[3] for r in rows), np.uint32))
+        keys = [np.cumsum(unsqueeze(r[2]), dtype=np.uint64) for r in rows]
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        # sums of whole numbers below 2**53 are exact
+        total = np.bincount(which, weights=np.concatenate([unsqueeze(r[3]) for r in rows])).astype(np.uint64)
         at = 0
-        for part, block, own, *_ in rows:
-            size = len(own) // 8
-            out.append((part, block, b"", total[which[at : at + size]].tobytes(), b"", b"", b""))
-            at += size
+        for (part, block, *_), own in zip(rows, keys, strict=True):
+            out.append((part, block, b"", squeeze(total[which[at : at + len(own)]]), b"", b"", b""))
+            at += len(own)
     return pa.Table.from_arrays(_rows(out), names=NAMES)
 
 
@@ -106,9 +120,9 @@ def _score_block(n_words: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True), key=lambda r: (bool(r[3]), r[0]))
         [(_, _, one, _, ids, sizes, place), *counted] = rows
-        one, ids = np.frombuffer(one, np.uint64), np.frombuffer(ids, np.int64)
-        sizes, place = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(place, np.uint32).astype(np.int64)
-        count = np.frombuffer(b"".join(r[3] for r in counted), np.float64)
+        one, ids = np.cumsum(unsqueeze(one), dtype=np.uint64), np.frombuffer(ids, np.int64)
+        sizes, place = unsqueeze(sizes).astype(np.int64), unsqueeze(place).astype(np.int64)
+        count = np.concatenate([np.zeros(0), *(unsqueeze(r[3]).astype(float) for r in counted)])
         pairs, first = _pairs_of(one[place], sizes)
         two, which = np.unique(pairs, return_inverse=True)
         keys = np.sort(np.concatenate([one, two]))
