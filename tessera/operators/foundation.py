@@ -11,9 +11,9 @@ from tessera.operators.resolve import gram_pairs, live
 
 # Evaluation layers; sizes of families, probes, cases and queries; similarities; coverage; caps; confidences; needed fields.
 LAYERS = {
-    "A": "automated retrieval tests from the seeded domain structure",
-    "B": "source-grounded recovery on held-out sources",
-    "C": "cross-domain synthetic cases, per domain",
+    "A": "tests made from the concepts that each domain was seeded with",
+    "B": "what held-out sources say is to be found again",
+    "C": "made-up cases whose concepts lie in several domains",
 }
 MIN_FAMILY, PROBES, CASE_CONCEPTS, CLAIM_CHARS = 8, 3, 6, 900
 COLLISION, IMPACT = 0.92, 0.5
@@ -91,7 +91,7 @@ def learn_aliases(resolved: DataFrame, accept: float) -> DataFrame:
 def extract_pending(envelopes: DataFrame, kinds: DataFrame) -> DataFrame:
     """Normalised envelopes for the model extractor, oldest first; kinds is a bounded registry."""
     routed = F.broadcast(kinds.filter("extractor = 'MODEL'").select("kind"))
-    return envelopes.filter("status = 'NORMALIZED' and send_to_e7 and duplicate_of is null").join(routed, "kind", "left_semi").orderBy("received_at", "envelope_id")
+    return envelopes.filter("status = 'NORMALIZED' and extractable and duplicate_of is null").join(routed, "kind", "left_semi").orderBy("received_at", "envelope_id")
 
 
 def apply_assessment(claims: DataFrame, findings: DataFrame) -> DataFrame:

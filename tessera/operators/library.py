@@ -98,12 +98,12 @@ def candidate_strategies(links: DataFrame, claim_concepts: DataFrame, limit: int
 
 
 def heading_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ord, level, heading, start, end): markdown headings with code-point offsets of heading start and body end."""
+    """(id, ord, level, heading, start, body, end): markdown headings with code-point offsets of the heading, of the text below it and of its end."""
     lines = docs.select(id_col, F.length(text_col).alias("_n"), F.posexplode(F.split(text_col, "\n")).alias("_i", "_line"))
     w = W.partitionBy(id_col).orderBy("_i")
     lines = lines.withColumn("start", F.coalesce(F.sum(F.length("_line") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     heads = lines.filter(F.col("_line").rlike(r"^#{1,6}\s+\S")).withColumn("ord", F.row_number().over(w) - 1).withColumn("end", F.coalesce(F.lead("start").over(w), F.col("_n").cast("long")))
-    return heads.select(id_col, "ord", F.length(F.regexp_extract("_line", r"^(#{1,6})", 1)).alias("level"), F.btrim(F.regexp_replace("_line", r"^#{1,6}\s+", "")).alias("heading"), "start", "end")
+    return heads.select(id_col, "ord", F.length(F.regexp_extract("_line", r"^(#{1,6})", 1)).alias("level"), F.btrim(F.regexp_replace("_line", r"^#{1,6}\s+", "")).alias("heading"), "start", F.least(F.col("start") + F.length("_line") + 1, F.col("_n").cast("long")).alias("body"), "end")
 
 
 def classify_headings(blocks: DataFrame, rules: DataFrame) -> DataFrame:

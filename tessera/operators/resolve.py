@@ -14,6 +14,7 @@ from tessera.functions.text import disambiguate, key_for, norm_phrase, trgm_simi
 TRIGRAM_FLOOR, TRIGRAM_ACCEPT, TIE_BAND, TRIGRAM_TOP = 0.72, 0.92, 0.01, 5
 SEMANTIC_FLOOR, SEMANTIC_ACCEPT, SEMANTIC_TOP = 0.78, 0.82, 3
 CONFUSABLE_LOW, CONFUSABLE_HIGH = 0.45, 0.85
+WEEKLY_CAP = 15
 LIVE = ("SEEDED", "ACTIVE")
 
 
@@ -21,30 +22,48 @@ def live(concepts: DataFrame) -> DataFrame:
     return concepts.filter(F.col("status").isin(*LIVE))
 
 
-def gram_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, floor: float, block: list[str] | None = None) -> DataFrame:
-    """(a_key, b_key, sim) with trigram similarity of at least floor; a and b have a column name.
+def _name_pairs(a: DataFrame, b: DataFrame, floor: float, block: list[str], ordered: bool) -> DataFrame:
+    """(block, name_a, name_b, sim) of the distinct names of both sides.
 
     Only the rarest grams of each side are joined: sets of sizes m and n with similarity t share at least
-    t * max(m, n) grams, so of the grams in order of rarity the first m - ceil(t * m) + 1 suffice. block:
-    columns that must be equal as well.
+    t * max(m, n) grams, so of the grams in order of rarity the first m - ceil(t * m) + 1 suffice. Only sets of like
+    sizes meet, and a pair is kept at its first common gram only, so nothing is deduplicated.
     """
-    block = block or []
 
-    def grams(df, key):
-        return df.select(key, *block, trigrams(F.col("name")).alias("g")).filter("size(g) > 0")
+    def grams(df, name):
+        return df.select(*block, F.col("name").alias(name)).distinct().withColumn("g", trigrams(F.col(name))).filter("size(g) > 0")
 
-    ga, gb = grams(a, a_key), grams(b, b_key)
+    ga, gb = grams(a, "name_a"), grams(b, "name_b")
     rarity = gb.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefixed(df, key):
-        rows = df.select(key, *block, "g", F.explode("g").alias("gram")).join(rarity, "gram", "left")
-        w = W.partitionBy(key, *block).orderBy(F.coalesce("df", F.lit(0)), "gram")
-        keep = F.size("g") - F.ceil(floor * F.size("g")) + 1
-        return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).drop("rn", "df")
+    def prefixed(df, name, own):
+        rows = df.select(name, *block, F.explode("g").alias("gram")).join(rarity, "gram", "left")
+        sets = rows.groupBy(name, *block).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("s"))
+        keep = F.size("s") - F.ceil(floor * F.size("s")) + 1
+        sets = sets.select(name, *block, F.transform("s", lambda x: x["gram"]).alias(own), F.transform(F.slice("s", F.lit(1), keep.cast("int")), lambda x: x["gram"]).alias(f"{own}_p"))
+        return sets.select("*", F.explode(f"{own}_p").alias("gram"))
+
+    pairs = prefixed(ga, "name_a", "g").join(prefixed(gb, "name_b", "h"), ["gram", *block])
+    pairs = pairs.filter("name_a <= name_b") if ordered else pairs
+    pairs = pairs.filter((F.size("g") >= floor * F.size("h")) & (F.size("h") >= floor * F.size("g")))
+    pairs = pairs.filter(F.element_at(F.array_intersect("g_p", "h_p"), 1) == F.col("gram"))
+    return pairs.select("name_a", "name_b", *block, trgm_similarity(F.col("g"), F.col("h")).alias("sim")).filter(F.col("sim") >= floor)
+
+
+def gram_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, floor: float, block: list[str] | None = None, ceiling: float = 1.0, ordered: bool = False) -> DataFrame:
+    """(a_key, b_key, sim) with trigram similarity from floor to ceiling; a and b have a column name.
 
-    pairs = prefixed(ga, a_key).alias("a").join(prefixed(gb, b_key).withColumnRenamed("g", "h").alias("b"), ["gram", *block])
-    pairs = pairs.select(a_key, b_key, "g", "h", *block).dropDuplicates([a_key, b_key, *block])
-    return pairs.select(a_key, b_key, *block, trgm_similarity(F.col("g"), F.col("h")).alias("sim")).filter(F.col("sim") >= floor)
+    Names are compared once, whatever number of keys they have. block: columns that must be equal as well.
+    ordered: both sides are one table, and each pair is given once, with a_key < b_key.
+    """
+    block = block or []
+    names = _name_pairs(a, b, floor, block, ordered).filter(F.col("sim") <= ceiling)
+    left, right = a.select(a_key, *block, F.col("name").alias("name_a")), b.select(b_key, *block, F.col("name").alias("name_b"))
+    pairs = names.join(left, [*block, "name_a"]).join(right, [*block, "name_b"])
+    if ordered:
+        pairs = pairs.filter((F.col(a_key) < F.col(b_key)) | (F.col("name_a") != F.col("name_b")))
+        return pairs.select(F.least(a_key, b_key).alias(a_key), F.greatest(a_key, b_key).alias(b_key), *block, "sim")
+    return pairs.select(a_key, b_key, *block, "sim")
 
 
 def _tier(df: DataFrame, n: int, accept: float) -> DataFrame:
@@ -164,11 +183,16 @@ def probe_cache(phrases: DataFrame, cache: DataFrame, revision: int, relations:
     return phrases.join(good, "phrase_norm").join(bad, "phrase_norm", "left_anti")
 
 
-def decide_near(near: DataFrame, used: int, cap: int = 15) -> DataFrame:
-    """The most weighty near misses with an impact are escalated up to the week's cap; the others are logged."""
-    w = W.orderBy(F.desc("impact"), "arrived_at", "phrase_norm")
-    top = near.filter("impact > 0").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(0, cap - used)).select("phrase_norm", F.lit("ESCALATED").alias("decision"))
-    return near.join(top, "phrase_norm", "left").withColumn("decision", F.coalesce("decision", F.lit("LOGGED")))
+def decide_near(near: DataFrame, proposals: DataFrame, now, cap: int = WEEKLY_CAP) -> DataFrame:
+    """Near misses with an impact are escalated in the order of their arrival, as far as the week's cap goes; the others are logged.
+
+    proposals (decision, created_at) say how many were escalated in the seven days before now (a column). At most
+    cap rows are ranked, so no task gets all near misses.
+    """
+    used = proposals.filter((F.col("decision") == "ESCALATED") & (F.col("created_at") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("created_at") <= now)).agg(F.count(F.lit(1)).alias("_used"))
+    first = near.filter("impact > 0").orderBy("arrived_at", "phrase_norm").limit(cap).withColumn("_rn", F.row_number().over(W.orderBy("arrived_at", "phrase_norm")))
+    top = first.crossJoin(F.broadcast(used)).filter(F.col("_rn") <= cap - F.col("_used")).select("phrase_norm", F.lit("ESCALATED").alias("decision"))
+    return near.join(F.broadcast(top), "phrase_norm", "left").withColumn("decision", F.coalesce("decision", F.lit("LOGGED")))
 
 
 def terminal_proposals(unresolved: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -214,7 +238,7 @@ def generate_confusable(concepts: DataFrame, block: str = "domain") -> DataFrame
     """Pairs a < b of one domain whose names are alike but not the same; concepts: concept_id, name, domain."""
     a = concepts.select(F.col("concept_id").alias("a"), "name", block)
     b = concepts.select(F.col("concept_id").alias("b"), "name", block)
-    return gram_pairs(a, b, "a", "b", CONFUSABLE_LOW, [block]).filter((F.col("a") < F.col("b")) & (F.col("sim") <= CONFUSABLE_HIGH))
+    return gram_pairs(a, b, "a", "b", CONFUSABLE_LOW, [block], CONFUSABLE_HIGH, ordered=True)
 
 
 def concept_domains(concepts: DataFrame, domains: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from tessera.operators.resolve import live, top_k
 WEIGHTS = {"concept": 0.40, "fts": 0.30, "vector": 0.30}
 PASS = 0.30
 HITS = ["query_id", "kind", "id", "bucket", "channel", "raw"]
+#: Words that are broadcast at most; rows of a query and bucket are ranked in so many blocks first.
+SENT_WORDS, BLOCKS = 1_000_000, 64
 # Words that aren't searched for.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the this to was were will with".split()
 
@@ -21,9 +23,12 @@ def lexemes(c):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
 
 
-def postings(docs: DataFrame, kind: str, id_col: str, text_col: str, bucket_col: str) -> DataFrame:
-    """The inverted index: (lexeme, kind, id, bucket, tf)."""
+def postings(docs: DataFrame, kind: str, id_col: str, text_col: str, bucket_col: str, searched: DataFrame | None = None) -> DataFrame:
+    """The inverted index: (lexeme, kind, id, bucket, tf). searched (lexeme): only of these words, of a stated set of queries."""
     rows = docs.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("id"), F.col(bucket_col).cast("string").alias("bucket"), F.explode(lexemes(F.col(text_col))).alias("lexeme"))
+    if searched is not None:
+        words = searched.distinct()
+        rows = rows.join(F.broadcast(words) if words.count() <= SENT_WORDS else words, "lexeme", "left_semi")
     return rows.groupBy("lexeme", "kind", "id", "bucket").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -57,15 +62,17 @@ def exclude_held_out(chunks: DataFrame, documents: DataFrame, items: DataFrame)
 
 
 def normalise_scores(hits: DataFrame) -> DataFrame:
-    top = F.max("raw").over(W.partitionBy("query_id", "channel"))
-    return hits.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(0.0))
+    """hits with score, the share of the best of their query and channel."""
+    best = hits.groupBy("query_id", "channel").agg(F.max("raw").alias("_top"))
+    return hits.join(best, ["query_id", "channel"]).withColumn("score", F.when(F.col("_top") > 0, F.col("raw") / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
 def channel_weights(hits: DataFrame) -> DataFrame:
     """(query_id, channel, weight), renormalised over the channels that found something for the query."""
     table = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    rows = hits.select("query_id", "channel").distinct().withColumn("weight", table[F.col("channel")])
-    return rows.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy("query_id")))
+    rows = hits.groupBy("query_id").agg(F.collect_set("channel").alias("channels"))
+    total = F.aggregate("channels", F.lit(0.0), lambda a, c: a + table[c])
+    return rows.select("query_id", F.explode("channels").alias("channel"), total.alias("_total")).select("query_id", "channel", (table[F.col("channel")] / F.col("_total")).alias("weight"))
 
 
 def merge_hits(hits: DataFrame, weights: DataFrame) -> DataFrame:
@@ -83,14 +90,20 @@ def derive_cap(limit, n_concepts):
 
 
 def rerank(rows: DataFrame, limit: int, cap) -> DataFrame:
-    """Breadth first: a row is deferred if it is past the cap in all its buckets; deferred rows fill the rest."""
+    """Breadth first: a row is deferred if it is past the cap in all its buckets; deferred rows fill the rest.
+
+    A row with limit better ones in a bucket can't be on the page by it, so each block of a bucket's rows keeps its
+    limit best before the bucket is ranked.
+    """
     order = [F.desc("score"), "kind", "id"]
-    flat = rows.select("query_id", "kind", "id", "score", F.explode(F.when(F.size("buckets") > 0, F.col("buckets")).otherwise(F.array(F.lit("_none")))).alias("bucket"))
-    place = F.row_number().over(W.partitionBy("query_id", "bucket").orderBy(*order))
-    first = flat.withColumn("place", place).groupBy("query_id", "kind", "id").agg(F.min("place").alias("place"))
-    out = rows.join(first, ["query_id", "kind", "id"]).withColumn("deferred", F.col("place") > cap)
+    flat = rows.withColumn("bucket", F.explode(F.when(F.size("buckets") > 0, F.col("buckets")).otherwise(F.array(F.lit("_none")))))
+    flat = flat.withColumn("_block", F.pmod(F.xxhash64("kind", "id"), F.lit(BLOCKS)))
+    for keys in (["query_id", "bucket", "_block"], ["query_id", "bucket"]):
+        flat = flat.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_place") <= limit)
+    kept = [c for c in rows.columns if c not in ("query_id", "kind", "id")]
+    out = flat.groupBy("query_id", "kind", "id").agg(F.min("_place").alias("_place"), *(F.first(c).alias(c) for c in kept)).withColumn("deferred", F.col("_place") > cap)
     w = W.partitionBy("query_id").orderBy("deferred", *order)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("place")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("_place")
 
 
 def retrieve(hits: DataFrame, limit: int = 20, n_concepts: int = 1, kinds: list[str] | None = None) -> DataFrame:

@@ -19,8 +19,13 @@ def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return rows.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti")
 
 
+def logged(df: DataFrame, day_col: str) -> DataFrame:
+    """The rows as an append-only log holds them: with the day that they are partitioned by."""
+    return df.withColumn("day", F.to_date(day_col))
+
+
 def append_log(df: DataFrame, path: str, day_col: str) -> None:
-    df.withColumn("day", F.to_date(day_col)).write.mode("append").partitionBy("day").parquet(path)
+    logged(df, day_col).write.mode("append").partitionBy("day").parquet(path)
 
 
 def replace_owner(target: DataFrame, rows: DataFrame, owner: str, owners: DataFrame) -> DataFrame:

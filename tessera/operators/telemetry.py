@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The type of costs: sums and rounding are exact.
+COST = "decimal(28,12)"
+
+
+def exact(c, digits: int = 6):
+    """Column: a cost rounded half up at digits, in decimals, as a double."""
+    return F.round(c, digits).cast("double")
+
+
+def exact_mean(c: str, digits: int = 4):
+    """Column: the mean of an exact sum, rounded half up at digits; it doesn't depend on the order of the rows."""
+    total = F.sum(F.col(c).cast("decimal(28,6)")).cast("double")
+    return F.floor(total / F.count(c) * 10**digits + 0.5) / 10**digits
+
+
 def cost_by_operation(events: DataFrame) -> DataFrame:
     return events.groupBy(F.date_trunc("day", "occurred_at").alias("day"), "operation", "model_role").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).alias("cost"),
-        F.round(F.avg("duration_ms"), 4).alias("avg_ms"), F.count_if(~F.col("success")).alias("failures"),
+        F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("tokens"), exact(F.sum(F.col("cost_usd").cast(COST))).alias("cost"),
+        exact_mean("duration_ms").alias("avg_ms"), F.count_if(~F.col("success")).alias("failures"),
     )
 
 
@@ -26,7 +41,10 @@ def price_calls(calls: DataFrame, prices: DataFrame, call_id: str = "call_id") -
     best = hits.groupBy(call_id).agg(F.max_by(F.struct("in_rate", "out_rate"), rank).alias("rate"), F.max(rank).alias("rank"), F.count_distinct("p_modality").alias("n_modalities"))
     out = calls.join(best, call_id, "left")
     ok = F.col("rate").isNotNull() & (F.col("modality").isNotNull() | (F.col("n_modalities") == 1))
-    cost = F.round((F.col("input_tokens") * F.col("rate.in_rate") + F.col("output_tokens") * F.col("rate.out_rate")) / 1e6, 6)
+    rate = lambda c: F.col(f"rate.{c}").cast("decimal(12,6)")
+    millionths = F.col("input_tokens").cast("decimal(18,0)") * rate("in_rate") + F.col("output_tokens").cast("decimal(18,0)") * rate("out_rate")
+    # a rate is per million tokens, so whole millionths of a unit are what is left of the rounded sum
+    cost = F.round(millionths, 0).cast("double") / 1e6
     source = F.when(~ok, "UNPRICED").when(F.col("rank.exact"), "EXACT").otherwise("PREFIX")
     return out.withColumn("price_source", source).withColumn("cost_usd", F.when(ok, cost)).drop("rate", "rank", "n_modalities")
 
@@ -38,7 +56,7 @@ def unpriced_spend(priced: DataFrame) -> DataFrame:
 
 def call_measurement(runs: DataFrame, costs: DataFrame) -> DataFrame:
     by_run = costs.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("attempts"), F.sum("input_tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).alias("cost"),
+        F.count(F.lit(1)).alias("attempts"), F.sum("input_tokens").alias("tokens"), exact(F.sum(F.col("cost_usd").cast(COST))).alias("cost"),
         F.bool_or(F.col("cost_usd").isNull()).alias("unpriced"), F.count_if(~F.col("success")).alias("errors"),
     )
     return runs.join(by_run, "run_id", "left")
@@ -75,7 +93,7 @@ def dead_letter_triage(letters: DataFrame) -> DataFrame:
 
 def spend_by_day(events: DataFrame) -> DataFrame:
     rows = events.filter(~F.coalesce(F.col("client_work"), F.lit(False)))
-    return rows.groupBy(F.to_date("occurred_at").alias("day")).agg(F.sum("input_tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).alias("cost"))
+    return rows.groupBy(F.to_date("occurred_at").alias("day")).agg(F.sum("input_tokens").alias("tokens"), exact(F.sum(F.col("cost_usd").cast(COST))).alias("cost"))
 
 
 def budget_remaining(spend: DataFrame, cap: float | None) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import casework, core, states
+from tessera.plans import casework, core, curation, resolver, states, streams, upkeep
 
-MODULES = [casework, core, states]
+MODULES = [casework, core, states, resolver, curation, upkeep, streams]
 
 
 def queries() -> dict:

@@ -127,13 +127,31 @@ def _(t):
     return ingest.version_by_url(p, "host", ["page_id"]).select("page_id", "source_version")
 
 
-@query("ing02_sections")
+SECTIONS = (
+    "WITH l AS (SELECT doc_id, i, CASE WHEN regexp_full_match(x, '\\w+\\.') THEN '# ' || x ELSE x END AS line FROM (SELECT doc_id, i, string_split(text, chr(10))[i] AS x FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))), "
+    "h AS (SELECT *, regexp_matches(line, '^#\\s+\\S') AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM h), "
+    "b AS (SELECT doc_id, no, max(CASE WHEN head THEN trim(regexp_replace(line, '^#\\s+|\\s*#*\\s*$', '', 'g')) END) AS title, trim(coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (WHERE NOT head), ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM s GROUP BY 1, 2), "
+    "k AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS INTEGER) AS sec_no, coalesce(title, '(body)') AS location, CAST(length(body) AS INTEGER) AS n_chars FROM b WHERE body <> '') "
+    "SELECT * FROM k UNION ALL SELECT doc_id, 0, '(body)', CAST(length(list_first(list(text))) AS INTEGER) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id"
+)
+
+
+@query("ing02_sections", SECTIONS)
 def _(t):
     marked = F.regexp_replace("text", r"(?m)^(\w+\.)$", "# $1")
     return ingest.segment_sections(t("documents").select("doc_id", marked.alias("text")), "doc_id", "text").select("doc_id", "sec_no", "location", F.length("body").alias("n_chars"))
 
 
-@query("ing03_chunks")
+PACKED = (
+    "WITH RECURSIVE a AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents), "
+    "p AS (SELECT doc_id, i, length(ps[i]) AS n FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM a)), "
+    "r AS (SELECT doc_id, i, n, 0 AS block, n + 2 AS size FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, p.n, CASE WHEN size + p.n > 2400 THEN block + 1 ELSE block END, CASE WHEN size + p.n > 2400 THEN p.n + 2 ELSE size + p.n + 2 END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1), "
+    "c AS (SELECT doc_id, block, sum(n) + 2 * (count(*) - 1) AS len, max(block) OVER (PARTITION BY doc_id) AS last FROM r GROUP BY 1, 2), d AS (SELECT doc_id, CASE WHEN block = last AND block > 0 AND len < 400 THEN block - 1 ELSE block END AS k, len FROM c) "
+    "SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(sum(len) + 2 * (count(*) - 1) AS INTEGER) AS n_chars FROM d GROUP BY 1, 2"
+)
+
+
+@query("ing03_chunks", PACKED)
 def _(t):
     d = t("documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("body"))
     return ingest.chunk_sections(d).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"))
@@ -160,13 +178,28 @@ def _(t):
     return ingest.entries_since_cursor(entries, cursors).select(F.col("guid").alias("o_orderkey"))
 
 
-@query("ing14_caption_overlap")
+CAPTIONS = (
+    "WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS words, list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) AS plain FROM conversations), "
+    "p AS (SELECT *, lag(plain) OVER o AS prev, lag(turn + 1.5) OVER o AS ended FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY turn)), "
+    "q AS (SELECT *, coalesce(turn < ended - 0.01, false) AS time_overlap, coalesce(list_max(list_filter(range(1, least(len(prev), len(plain)) + 1), lambda k: list_slice(prev, len(prev) - k + 1, len(prev)) = list_slice(plain, 1, k))), 0) AS fits FROM p), "
+    "d AS (SELECT *, CAST(CASE WHEN time_overlap THEN fits ELSE 0 END AS INTEGER) AS dropped_words FROM q) SELECT conv_id, turn, dropped_words, time_overlap, coalesce(array_to_string(list_slice(words, dropped_words + 1, len(words)), ' '), '') AS text FROM d"
+)
+
+
+@query("ing14_caption_overlap", CAPTIONS)
 def _(t):
     c = t("conversations").select("conv_id", "turn", "text", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.5).alias("end"))
     return ingest.dedupe_segments(c, "conv_id", "turn").select("conv_id", "turn", "dropped_words", "time_overlap", "text")
 
 
-@query("ing15_blocks")
+BLOCKS = (
+    "WITH RECURSIVE s AS (SELECT conv_id, length(text) AS n, CAST(turn AS DOUBLE) AS began, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations WHERE trim(text) <> ''), "
+    "r AS (SELECT conv_id, i, 0 AS block_no, began AS start, n AS size FROM s WHERE i = 1 UNION ALL SELECT s.conv_id, s.i, CASE WHEN size + 1 + n > 1200 THEN block_no + 1 ELSE block_no END, CASE WHEN size + 1 + n > 1200 THEN began ELSE start END, CASE WHEN size + 1 + n > 1200 THEN n ELSE size + 1 + n END FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1) "
+    "SELECT conv_id, CAST(block_no AS INTEGER) AS block_no, start, CAST(max(size) AS INTEGER) AS n_chars FROM r GROUP BY 1, 2, 3"
+)
+
+
+@query("ing15_blocks", BLOCKS)
 def _(t):
     c = t("conversations").select("conv_id", F.col("turn").cast("double").alias("start"), "text")
     return ingest.pack_blocks(c, "conv_id").select("conv_id", "block_no", "start", F.length("text").alias("n_chars"))
@@ -201,8 +234,9 @@ def _(t):
 
 
 def text_hits(t):
-    index = retrieval.postings(t("documents"), "DOCUMENT", "doc_id", "text", "source")
-    return retrieval.by_fts(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), index)
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    words = asked.select(F.explode(retrieval.lexemes(F.col("text"))).alias("lexeme"))
+    return retrieval.by_fts(asked, retrieval.postings(t("documents"), "DOCUMENT", "doc_id", "text", "source", words))
 
 
 STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -271,14 +305,14 @@ def as_calls(t):
     return e.withColumn("input_tokens", F.floor("value")).withColumn("success", F.col("operation") != "error").withColumn("duration_ms", F.col("value")).withColumn("cost_usd", F.col("value") / 1000)
 
 
-@query("ops01_cost_by_operation", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS operation, CAST(user_id % 3 AS VARCHAR) AS model_role, count(*) AS calls, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens, round(sum(value / 1000), 6) AS cost, round(avg(value), 4) AS avg_ms, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1, 2, 3")
+@query("ops01_cost_by_operation", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS operation, CAST(user_id % 3 AS VARCHAR) AS model_role, count(*) AS calls, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens, CAST(round(sum(CAST(value / 1000 AS DECIMAL(28,12))), 6) AS DOUBLE) AS cost, floor(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) / count(value) * 10000 + 0.5) / 10000 AS avg_ms, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1, 2, 3")
 def _(t):
     return telemetry.cost_by_operation(as_calls(t))
 
 
 @query(
     "ops02_price_calls",
-    "WITH m AS (SELECT event_id, event_type || '-' || CAST(user_id % 5 AS VARCHAR) AS model, CAST(floor(value) AS BIGINT) AS tok FROM events), p(pm, r) AS (VALUES ('click', 0.5), ('click-3', 0.7), ('purchase-1', 2.0), ('view', 0.1)), h AS (SELECT event_id, tok, r, pm = model AS ex, row_number() OVER (PARTITION BY event_id ORDER BY pm = model DESC, length(pm) DESC) AS rn FROM m JOIN p ON starts_with(model, pm)) SELECT m.event_id AS call_id, CASE WHEN r IS NULL THEN 'UNPRICED' WHEN ex THEN 'EXACT' ELSE 'PREFIX' END AS price_source, round((m.tok * r + 0) / 1e6, 6) AS cost_usd FROM m LEFT JOIN h ON m.event_id = h.event_id AND rn = 1",
+    "WITH m AS (SELECT event_id, event_type || '-' || CAST(user_id % 5 AS VARCHAR) AS model, CAST(floor(value) AS BIGINT) AS tok FROM events), p(pm, r) AS (VALUES ('click', 0.5), ('click-3', 0.7), ('purchase-1', 2.0), ('view', 0.1)), h AS (SELECT event_id, tok, r, pm = model AS ex, row_number() OVER (PARTITION BY event_id ORDER BY pm = model DESC, length(pm) DESC) AS rn FROM m JOIN p ON starts_with(model, pm)) SELECT m.event_id AS call_id, CASE WHEN r IS NULL THEN 'UNPRICED' WHEN ex THEN 'EXACT' ELSE 'PREFIX' END AS price_source, CAST(round(m.tok * CAST(r AS DECIMAL(12,6)), 0) AS DOUBLE) / 1e6 AS cost_usd FROM m LEFT JOIN h ON m.event_id = h.event_id AND rn = 1",
 )
 def _(t):
     calls = as_calls(t).withColumn("model_name", F.concat("operation", F.lit("-"), (F.col("user_id") % 5).cast("string"))).withColumn("output_tokens", F.lit(0)).withColumn("modality", F.lit("TEXT")).drop("cost_usd")
@@ -293,7 +327,7 @@ def _(t):
     return telemetry.dead_letter_triage(rows)
 
 
-@query("ops11_budget", "SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens, round(sum(value / 1000), 6) AS cost, round(greatest(0.0, 20.0 - round(sum(value / 1000), 6)), 6) AS remaining FROM events WHERE user_id % 2 = 0 GROUP BY 1")
+@query("ops11_budget", "SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens, CAST(round(sum(CAST(value / 1000 AS DECIMAL(28,12))), 6) AS DOUBLE) AS cost, round(greatest(0.0, 20.0 - CAST(round(sum(CAST(value / 1000 AS DECIMAL(28,12))), 6) AS DOUBLE)), 6) AS remaining FROM events WHERE user_id % 2 = 0 GROUP BY 1")
 def _(t):
     return telemetry.budget_remaining(telemetry.spend_by_day(as_calls(t).withColumn("client_work", F.col("user_id") % 2 == 1)), 20.0)
 
@@ -442,22 +476,27 @@ def _(t):
     return library.fold_progress(t("events").withColumn("ok", F.col("event_type") != "error"), "user_id", "ok", ["event_id"])
 
 
-@query("knw09_candidates", "WITH n AS (SELECT o_custkey AS claim_id, s.l_suppkey AS strategy_id, count(DISTINCT c.l_partkey) AS shared FROM (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 20 = 0) c JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) s USING (l_partkey) GROUP BY 1, 2) SELECT claim_id, strategy_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY shared DESC, strategy_id) AS rn FROM n) WHERE rn <= 8")
-def _(t):
-    line = t("lineitem")
-    claims = line.join(t("orders").filter("o_custkey % 20 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("claim_id"), F.col("l_partkey").alias("concept_id")).distinct()
-    return library.candidate_strategies(line.select(F.col("l_suppkey").alias("strategy_id"), F.col("l_partkey").alias("concept_id")).distinct(), claims)
+CANDIDATES = "WITH n AS (SELECT o_custkey AS claim_id, s.l_suppkey AS strategy_id, count(DISTINCT c.l_partkey) AS shared FROM (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) c JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) s USING (l_partkey) GROUP BY 1, 2) SELECT claim_id, strategy_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY shared DESC, strategy_id) AS rn FROM n) WHERE rn <= 8"
 
 
-@query("knw09_candidates_of_all")
+@query("knw09_candidates", CANDIDATES)
+@query("knw09_candidates_of_all", CANDIDATES)
 def _(t):
-    """All claims; knw09_candidates looks at every twentieth, as its SQL does."""
+    """All claims; both names are kept."""
     line = t("lineitem")
     claims = line.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("claim_id"), F.col("l_partkey").alias("concept_id")).distinct()
     return library.candidate_strategies(line.select(F.col("l_suppkey").alias("strategy_id"), F.col("l_partkey").alias("concept_id")).distinct(), claims)
 
 
-@query("cur01_headings")
+HEADINGS = (
+    "WITH d AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_full_match(x, '\\w+\\.') THEN '## ' || x ELSE x END), chr(10)) AS t FROM documents), "
+    "l AS (SELECT doc_id, t, i, string_split(t, chr(10))[i] AS line FROM (SELECT doc_id, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)), "
+    "s AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM l) "
+    "SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, CAST(length(regexp_extract(line, '^(#{1,6})', 1)) AS INTEGER) AS level, trim(regexp_replace(line, '^#{1,6}\\s+', '')) AS heading, a AS start, least(a + length(line) + 1, length(t)) AS body, coalesce(lead(a) OVER w, length(t)) AS \"end\" FROM s WHERE regexp_matches(line, '^#{1,6}\\s+\\S') WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
+)
+
+
+@query("cur01_headings", HEADINGS)
 def _(t):
     marked = F.regexp_replace("text", r"(?m)^(\w+\.)$", "## $1")
     return library.heading_blocks(t("documents").select("doc_id", marked.alias("text")), "doc_id", "text")

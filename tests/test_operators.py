@@ -202,8 +202,7 @@ def test_streams_equal_batch(spark, sf, tmp_path):
 
 def rows_of(columns, data):
     order = sorted(range(len(columns)), key=columns.__getitem__)
-    shown = lambda v: f"{v:.5f}" if isinstance(v, float) else str(v)
-    return sorted(tuple(shown(r[i]) for i in order) for r in data)
+    return sorted(tuple(repr(r[i]) if isinstance(r[i], float) else str(r[i]) for i in order) for r in data)
 
 
 @pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if not (n[:2] == "op" and n[2].isdigit() or n == "pipeline")])

@@ -65,7 +65,7 @@ def test_foundation_small(spark):
     assert foundation.missing_handoffs(runs, outs).count() == 1
     ready = spark.createDataFrame([("a", 3, False), ("b", 5, False), ("c", 0, False), ("d", 6, True)], "domain_key string, dimensions_covered int, gap_assessment_complete boolean")
     assert [r.domain_key for r in foundation.gap_assess_queue(ready).collect()] == ["b", "a"]
-    env = spark.createDataFrame([(1, "NORMALIZED", True, None, "k", 2), (2, "NORMALIZED", True, 1, "k", 1)], "envelope_id int, status string, send_to_e7 boolean, duplicate_of int, kind string, received_at int")
+    env = spark.createDataFrame([(1, "NORMALIZED", True, None, "k", 2), (2, "NORMALIZED", True, 1, "k", 1)], "envelope_id int, status string, extractable boolean, duplicate_of int, kind string, received_at int")
     assert foundation.extract_pending(env, spark.createDataFrame([("k", "MODEL")], "kind string, extractor string")).count() == 1
     aliases = foundation.learn_aliases(spark.createDataFrame([("A b", ["c1"], "RESOLVED", "TRIGRAM", 0.9)], "phrase string, selected array<string>, status string, method string, confidence double"), 0.85)
     assert aliases.select(F.col("confirmed")).first().confirmed
