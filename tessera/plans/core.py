@@ -132,13 +132,13 @@ SECTIONS = (
     "h AS (SELECT *, regexp_matches(line, '^#\\s+\\S') AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM h), "
     "b AS (SELECT doc_id, no, max(CASE WHEN head THEN trim(regexp_replace(line, '^#\\s+|\\s*#*\\s*$', '', 'g')) END) AS title, trim(coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (WHERE NOT head), ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM s GROUP BY 1, 2), "
     "k AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS INTEGER) AS sec_no, coalesce(title, '(body)') AS location, CAST(length(body) AS INTEGER) AS n_chars FROM b WHERE body <> '') "
-    "SELECT * FROM k UNION ALL SELECT doc_id, 0, '(body)', CAST(length(list_first(list(text))) AS INTEGER) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id"
+    "SELECT * FROM k UNION ALL SELECT doc_id, 0, '(body)', CAST(sum(length(line) + 1) - 1 AS INTEGER) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id"
 )
 
 
 @query("ing02_sections", SECTIONS)
 def _(t):
-    marked = F.regexp_replace("text", r"(?m)^(\w+\.)$", "# $1")
+    marked = F.regexp_replace("text", r"(?md)^(\w+\.)$", "# $1")
     return ingest.segment_sections(t("documents").select("doc_id", marked.alias("text")), "doc_id", "text").select("doc_id", "sec_no", "location", F.length("body").alias("n_chars"))
 
 
@@ -498,7 +498,7 @@ HEADINGS = (
 
 @query("cur01_headings", HEADINGS)
 def _(t):
-    marked = F.regexp_replace("text", r"(?m)^(\w+\.)$", "## $1")
+    marked = F.regexp_replace("text", r"(?md)^(\w+\.)$", "## $1")
     return library.heading_blocks(t("documents").select("doc_id", marked.alias("text")), "doc_id", "text")
 
 

@@ -122,7 +122,7 @@ def _(t):
 
 
 # Documents as curated texts: the first line is a strategy, each line of one word that ends in a stop is a subsection.
-MARKED = "'# card' || chr(10) || regexp_replace(text, '(?m)^([a-zA-Z]+\\.)$', '## $1')"
+MARKED = "'# card' || chr(10) || regexp_replace(text, '(?md)^([a-zA-Z]+[.])$', '## $1')"
 DUCK_TEXT = "'# card' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_full_match(x, '[a-zA-Z]+\\.') THEN '## ' || x ELSE x END), chr(10))"
 LINES = (
     f"WITH d AS (SELECT doc_id, {DUCK_TEXT} AS t FROM documents WHERE text IS NOT NULL), "
