@@ -172,6 +172,13 @@ def test_language_without_declarations(spark, sf):
         assert sum(got[r.doc_id].language == r.lang for r in rows) >= 0.95 * len(rows)
 
 
+def test_language_of_pages(spark, sf):
+    got = queries.op3_language_id_pages(spark, sf).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    told = [(r.language, pages[r.page_id].split('lang="')[1][:2]) for r in got if 'lang="' in pages[r.page_id]]
+    assert len(got) == len(pages) and told and sum(a == b for a, b in told) >= 0.98 * len(told)
+
+
 def test_declared_codes_are_whole(spark):
     codes = ["fil", "fi", "EN-us", "pt_BR", " de ", "x", "", None, "12"]
     got = spark.createDataFrame([(c,) for c in codes], "c string").select(language_id.language_code(F.col("c"))).collect()
