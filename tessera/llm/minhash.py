@@ -271,7 +271,9 @@ def block_pairs(members: DataFrame, reps: DataFrame, block: int, best: int, text
         pairs = np.concatenate(found)
         return pa.table({"id": np.maximum(pairs[:, 0], pairs[:, 1]), "other": np.minimum(pairs[:, 0], pairs[:, 1])})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "id long, other long").distinct()
+    # dealt over a stated number of partitions, as rows are few for the work on them and would be put together
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(run, "id long, other long").distinct()
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
