@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tessera.llm import common as C
 
 #: Bytes encoded without a split, ids decoded without one, and matches, and bytes of them, that a worker remembers.
-LEAF_BYTES, LEAF_IDS, REMEMBERED, REMEMBERED_BYTES = 24, 1 << 16, 1 << 20, 64 << 20
+LEAF_BYTES, LEAF_IDS, REMEMBERED, REMEMBERED_BYTES = 24, 1 << 16, 1 << 18, 16 << 20
 
 
 class Numbers(dict):
@@ -36,16 +36,34 @@ class Numbers(dict):
         return n
 
 
-class Bpe:
-    def __init__(self, vocabulary: bytes, pattern: str) -> None:
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-        self.find = regex.compile(pattern).findall
+class Vocabulary:
+    """The bytes and the decimal forms of the ids."""
+
+    def __init__(self, file: bytes) -> None:
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file.splitlines() if line)}
         self.none = max(self.ranks.values(), default=0) + 1
-        by_id = [b""] * self.none
+        self.by_id = [b""] * self.none
         for token, i in self.ranks.items():
-            by_id[i] = token
-        self.by_id, self.tokens = by_id, pa.array(by_id, pa.binary())
+            self.by_id[i] = token
+        self.tokens = pa.array(self.by_id, pa.binary())
         self.decimals = pa.array([b"%d," % i for i in range(self.none)], pa.binary())
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Concatenation up the tree: bytes of the leaves first, then neighbours joined two by two."""
+        level = [_joined(self.tokens, ids[i : i + LEAF_IDS]) for i in range(0, len(ids), LEAF_IDS)]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0] if level else b""
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return _joined(self.decimals, ids)[:-1]
+
+
+class Bpe(Vocabulary):
+    def __init__(self, file: bytes, pattern: str) -> None:
+        super().__init__(file)
+        self.find = regex.compile(pattern).findall
         self.single = np.array([self.ranks.get(bytes([a]), 0) for a in range(256)])
         # (left, right) of every two tokens that make a token, as one number, sorted
         pairs = {}
@@ -133,27 +151,16 @@ class Bpe:
         """The ids of all texts, one after the other, and where each text's end."""
         if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.forget()
-        found = [self.find(t) if t else [] for t in texts]
-        count = [len(f) for f in found]
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, sum(count))
+        # a text's matches are numbers before the next text is looked at
+        found = [np.fromiter(map(self.known.__getitem__, self.find(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        number = np.concatenate([np.zeros(0, np.int32), *found])
         if self.known.new:
             self.learn(self.known.new)
             self.known.new = []
         size = self.ends[number + 1] - self.ends[number]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.ends[number] - ends[:-1], size)]
-        return ids, ends[np.concatenate([[0], np.cumsum(count)])]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Concatenation up the tree: bytes of the leaves first, then neighbours joined two by two."""
-        level = [_joined(self.tokens, ids[i : i + LEAF_IDS]) for i in range(0, len(ids), LEAF_IDS)]
-        while len(level) > 1:
-            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
-        return level[0] if level else b""
-
-    def written(self, ids: np.ndarray) -> bytes:
-        """The ids in decimal, joined by commas."""
-        return _joined(self.decimals, ids)[:-1]
+        return ids, ends[np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)]
 
 
 def _joined(values: pa.Array, ids: np.ndarray) -> bytes:
@@ -162,14 +169,14 @@ def _joined(values: pa.Array, ids: np.ndarray) -> bytes:
     return taken.buffers()[2].to_pybytes() if len(ids) else b""
 
 
-_HELD: dict[tuple, Bpe] = {}
+_HELD: dict[tuple, Vocabulary] = {}
 
 
-def _held(vocabulary: bytes, pattern: str) -> Bpe:
-    key = (hash(vocabulary), len(vocabulary), pattern)
+def _held(kind: type, file: bytes, *pattern: str) -> Vocabulary:
+    key = (kind, hash(file), len(file), *pattern)
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = Bpe(vocabulary, pattern)
+        _HELD[key] = kind(file, *pattern)
     return _HELD[key]
 
 
@@ -195,7 +202,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", o
     schema, names = _with(df, (out, T.ArrayType(T.IntegerType(), False)))
 
     def run(batch):
-        bpe = _held(held.value, pattern)
+        bpe = _held(Bpe, held.value, pattern)
         column = batch.column(text_col)
         _, offs = C.text_bytes(column)
         for lo, hi in C.pieces(offs):
@@ -213,7 +220,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "token_ids", out: str =
     schema, names = _with(df, (out, T.BinaryType()))
 
     def run(batch):
-        bpe = _held(held.value, "")
+        bpe = _held(Vocabulary, held.value)
         for lo in range(0, len(batch), 512):
             part = batch.slice(lo, 512)
             texts = [bpe.decode(ids.values.to_numpy()) if ids.is_valid else None for ids in part.column(ids_col)]
@@ -235,7 +242,7 @@ def bpe_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         return hashlib.sha256(data).hexdigest()
 
     def run(batch):
-        bpe = _held(held.value, pattern)
+        bpe = _held(Bpe, held.value, pattern)
         column = batch.column(1)
         _, offs = C.text_bytes(column)
         for lo, hi in C.pieces(offs):
