@@ -165,7 +165,7 @@ def lines_of(page: str) -> list[Line]:
 
 
 def main_text(page: str | None) -> str:
-    """The lines between the first surge and the last dive of a page's weights, runs of links left out."""
+    """The lines between the first surge and the last dive of a page's weights, runs of links left out; null and empty pages have none."""
     lines = lines_of(page or "")
     if not lines:
         return ""
@@ -195,7 +195,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract_text(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """df with the main text of each page; null and empty pages have empty text. A column named like out is replaced."""
+    """df with the main text of each page; null and empty pages have empty text.
+
+    Repeated rows give repeated rows, an empty table an empty one. A column named like out is replaced.
+    """
     rows = df.drop(out) if out != html_col else df
     names = rows.columns
 
