@@ -262,6 +262,23 @@ def test_quality_held_out(spark):
     assert len(scored) == len(EDGE) and all(0 <= r.score <= 1 for r in scored)
 
 
+def test_repeats_long_texts_and_empty_tables(spark):
+    """Language, quality and token counts: one row for each row, equal for equal rows."""
+    rng = random.Random(40)
+    texts = [prose(rng, 30), prose(rng, 30), None, "", "word " * 60000, "x" * 200000]
+    rows = [(i, t, "en" if i % 2 else "fr", "s", "x") for i, t in enumerate(texts)] * 2 + [(None, texts[0], None, None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (4, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    pieces = token_counts.piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for run in (language_id.identify, lambda t: quality.quality_scores(t, labels), lambda t: token_counts.token_counts(t, pieces)):
+        got = run(table).collect()
+        assert len(got) == len(rows)
+        for i in range(len(texts)):
+            assert len({tuple(r) for r in got if r.doc_id == i}) == 1
+        assert run(table.limit(0)).count() == 0
+    assert quality.quality_scores(table, labels.limit(0)).count() == len(rows)
+
+
 def lm_by_brute_force(texts):
     """Each text by the counts of all others: (scored, backed off, sum)."""
     split = [(t or "").encode().lower().split() for t in texts]
