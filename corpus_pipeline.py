@@ -10,23 +10,27 @@ from tessera.llm import bpe, common, decontaminate, exact_dedup, language_id, mi
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is identified; null and blank texts, and those without letters, go. Repeated rows share their fate."""
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id; of repeated rows one. Null counts as empty, so one such row stays."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; texts without words, and rows without an id, stay."""
     return minhash.near_dedup(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a benchmark passage, each judged by its own text; null and empty texts have none and stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids and the digests of the ids and of the text they decode to."""
+    """The documents with their token ids and the digests of the ids and of the text they decode to; null and empty texts have no ids."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = bpe.bpe_decode(bpe.bpe_encode(docs, path, public_tokenizers.PATTERN), path)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
