@@ -156,12 +156,18 @@ def resolve(phrases: DataFrame, tiers: list[DataFrame], relations: DataFrame, al
     A batch is resolved against one snapshot. Read-only resolution never escalates.
     """
     cand = reduce(DataFrame.unionByName, tiers)
-    clash = confusable_clash(cand, relations).select("phrase_norm", "tier", F.lit(True).alias("clash"))
-    refused = type_reject(cand, allowed).withColumn("refused", F.lit(True))
+    guarded = F.col("selected") & (F.col("tier") >= 3)
+    wrong = F.lit(False) if allowed is None else F.coalesce(F.bool_or(guarded & ~F.col("concept_type").isin(*allowed)), F.lit(False))
     rows = cand.groupBy("phrase_norm", "tier", "accept").agg(
-        F.max(F.when(F.col("selected"), F.col("confidence"))).alias("confidence"), F.array_sort(F.collect_set(F.when(F.col("selected"), F.col("concept_id")))).alias("concept_ids")
-    )
-    rows = rows.join(clash, ["phrase_norm", "tier"], "left").join(refused, ["phrase_norm", "tier"], "left")
+        F.max(F.when(F.col("selected"), F.col("confidence"))).alias("confidence"), F.array_sort(F.collect_set(F.when(F.col("selected"), F.col("concept_id")))).alias("concept_ids"),
+        F.array_sort(F.collect_set("concept_id")).alias("_all"), wrong.alias("refused"),
+    )
+    # the candidates of a tier are few, so their pairs are made in place; candidates aren't computed again for the guards
+    others = lambda x, i: F.transform(F.slice("_all", i + 2, F.size("_all")), lambda y: F.struct(x.alias("from_concept"), y.alias("to_concept")))
+    pairs = rows.filter(F.size("_all") > 1).select("phrase_norm", "tier", F.inline(F.flatten(F.transform("_all", others))))
+    apart = mirror(relations).filter("relation_type = 'CONFUSABLE_DO_NOT_MERGE' and from_concept < to_concept").select("from_concept", "to_concept")
+    clash = pairs.join(apart, ["from_concept", "to_concept"], "left_semi").select("phrase_norm", "tier", F.lit(True).alias("clash")).distinct()
+    rows = rows.join(clash, ["phrase_norm", "tier"], "left")
     event = F.when(F.col("clash"), F.lit("UNRESOLVED" if read_only else "ESCALATED")).when(F.col("refused"), F.lit(None)).when(F.col("confidence") >= F.col("accept"), "RESOLVED").otherwise("NEAR")
     rows = rows.withColumn("event", event).filter("event is not null")
     said = F.struct("event", "tier", "concept_ids", "confidence")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,18 @@ def postings(docs: DataFrame, kind: str, id_col: str, text_col: str, bucket_col:
     return rows.groupBy("lexeme", "kind", "id", "bucket").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def heaviest_concepts(links: DataFrame) -> DataFrame:
+    """(id, bucket): of each item's linked concepts (id, concept_id, weight) the heaviest, of equal ones the first."""
+    top = links.groupBy("id").agg(F.max("weight").alias("_w"))
+    best = links.join(top, "id").filter(F.col("weight") == F.col("_w"))
+    return best.groupBy("id").agg(F.min("concept_id").cast("string").alias("bucket"))
+
+
+def library_postings(parts: dict[str, DataFrame], searched: DataFrame | None = None) -> DataFrame:
+    """The inverted index of several corpora: kind -> (id, text, bucket)."""
+    return reduce(DataFrame.unionByName, [postings(df, kind, "id", "text", "bucket", searched) for kind, df in parts.items()])
+
+
 def resolve_keys(keys: DataFrame, concepts: DataFrame) -> DataFrame:
     return keys.join(live(concepts).select("canonical_key", "concept_id"), "canonical_key")
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import cases, ingest, library, retrieval, sinks, telemetry
-from tessera.plans import resolver
+from tessera.plans import core, resolver
 from tessera.plans.resolver import ONTOLOGY
 from tessera.plans.states import collector
+from tessera.sources import readers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -85,6 +86,25 @@ def _(t):
     return retrieval.resolve_keys(keys, resolver.concepts(t)).select("p_partkey", "concept_id")
 
 
+@query(
+    "ret06_library_channels",
+    "WITH b AS (SELECT l_partkey AS id, l_suppkey AS c, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2), h AS (SELECT id, min(c) AS bucket FROM b WHERE w = (SELECT max(w) FROM b x WHERE x.id = b.id) GROUP BY 1), "
+    "t AS (SELECT 'strategy' AS kind, p_partkey AS id, p_name || ' ' || p_type AS text, CAST(bucket AS VARCHAR) AS bucket FROM part LEFT JOIN h ON h.id = p_partkey UNION ALL SELECT 'chunk', conv_id * 1000 + turn, text, role FROM conversations UNION ALL SELECT 'concept', n_nationkey, n_name, n_name FROM nation UNION ALL SELECT 'curated_strategy', o_orderkey, o_orderpriority || ' ' || o_orderstatus, CAST(o_custkey AS VARCHAR) FROM orders), "
+    "q AS (SELECT DISTINCT p_brand AS query_id, unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey % 50 = 0 UNION SELECT 'urgent', 'urgent' UNION SELECT 'urgent', 'que'), "
+    f"ix AS (SELECT kind, id, bucket, lexeme, count(*) AS tf FROM (SELECT kind, id, bucket, unnest({core.LEX.format('text')}) AS lexeme FROM t) GROUP BY ALL) SELECT query_id, kind, CAST(id AS VARCHAR) AS id, bucket, CAST(sum(tf) AS DOUBLE) AS raw FROM ix JOIN q ON w = lexeme GROUP BY 1, 2, 3, 4",
+)
+def _(t):
+    heavy = retrieval.heaviest_concepts(t("lineitem", "l_partkey AS id", "l_suppkey AS concept_id", "l_quantity AS weight"))
+    corpora = {
+        "strategy": t("part", "p_partkey AS id", "p_name || ' ' || p_type AS text").join(heavy, "id", "left"), "chunk": t("conversations", "conv_id * 1000 + turn AS id", "text", "role AS bucket"),
+        "concept": t("nation", "n_nationkey AS id", "n_name AS text", "n_name AS bucket"), "curated_strategy": t("orders", "o_orderkey AS id", "o_orderpriority || ' ' || o_orderstatus AS text", "o_custkey AS bucket"),
+    }
+    asked = t("part", "p_partkey", "p_brand AS query_id", "p_name AS text").filter("p_partkey % 50 = 0").groupBy("query_id").agg(F.array_join(F.collect_set("text"), " ").alias("text"))
+    asked = asked.unionByName(t("region", "'urgent' AS query_id", "'urgent que' AS text").distinct())
+    words = asked.select(F.explode(retrieval.lexemes(F.col("text"))).alias("lexeme"))
+    return retrieval.by_fts(asked, retrieval.library_postings(corpora, words)).drop("channel")
+
+
 @query(
     "ret02_by_concept",
     "WITH links AS (SELECT l_orderkey AS id, l_suppkey AS concept_id, l_quantity AS w FROM lineitem), q AS (SELECT n_nationkey AS query_id, s_suppkey AS concept_id FROM nation JOIN supplier ON s_nationkey = n_nationkey) SELECT query_id, id, concept_id AS bucket, max(w) AS raw FROM q JOIN links USING (concept_id) WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1, 2, 3",
@@ -171,10 +191,44 @@ def _(t):
     return library.land_gaps(records, have).select("domain", "question")
 
 
-@query("cas11_current_state", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey AS client_id, o_orderpriority AS marker, o_totalprice AS value FROM r WHERE rn = 1")
+@query(
+    "cas11_current_state",
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders), l AS (SELECT o_custkey, string_agg(o_orderpriority || '=' || o_orderkey, '|' ORDER BY o_orderpriority) AS labs FROM r WHERE rn = 1 GROUP BY 1), "
+    "h AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), i AS (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey::VARCHAR) AS active FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) "
+    "SELECT c_custkey AS client_id, coalesce(n, 0) AS open_holds, coalesce(active, '') AS active, coalesce(labs, '') AS labs FROM customer LEFT JOIN h ON h.o_custkey = c_custkey LEFT JOIN i ON i.o_custkey = c_custkey LEFT JOIN l ON l.o_custkey = c_custkey WHERE c_acctbal > 0",
+)
+def _(t):
+    o = t("orders", "o_custkey AS client_id", "o_orderkey", "o_orderstatus", "o_orderpriority AS marker", "o_orderdate AS measured_on")
+    versions = t("customer", "c_custkey AS client_id", "c_acctbal > 0 AS is_current")
+    holds = o.selectExpr("client_id", "CASE WHEN o_orderstatus = 'P' THEN 'OPEN' END AS status")
+    live = o.selectExpr("client_id", "CASE WHEN o_orderstatus = 'O' THEN 'ONGOING' END AS status", "cast(o_orderkey AS string) AS name")
+    labs = o.selectExpr("client_id", "marker", "measured_on", "o_orderkey AS lab_id", "o_orderkey AS value")
+    out = cases.current_state(versions, holds, live, labs)
+    told = F.array_join(F.transform("labs", lambda x: F.concat(x["marker"], F.lit("="), x["value"].cast("string"))), "|")
+    return out.select("client_id", "open_holds", F.coalesce(F.array_join("active", "|"), F.lit("")).alias("active"), F.coalesce(told, F.lit("")).alias("labs"))
+
+
+@query(
+    "src04_feed_entries",
+    "SELECT p_brand AS feed, p_name AS title, 'http://x/' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN 'http://x/' || p_partkey ELSE 'g' || p_partkey END AS guid, CASE WHEN p_partkey % 2 = 0 THEN 'in full' ELSE p_type END AS summary, CASE WHEN p_partkey % 5 = 0 THEN 'said ' || p_partkey END AS transcript FROM part",
+)
+def _(t):
+    tag = lambda name, value: f"'<{name}>' || {value} || '</{name}>'"
+    item = " || ".join([
+        "'<item>'", tag("title", "p_name"), tag("link", "'http://x/' || p_partkey"), f"CASE WHEN p_partkey % 3 = 0 THEN '' ELSE {tag('guid', chr(39) + 'g' + chr(39) + ' || p_partkey')} END",
+        f"CASE WHEN p_partkey % 2 = 0 THEN {tag('content:encoded', chr(39) + 'in full' + chr(39))} ELSE {tag('description', 'p_type')} END", f"CASE WHEN p_partkey % 5 = 0 THEN {tag('itunes:transcript', chr(39) + 'said ' + chr(39) + ' || p_partkey')} ELSE '' END", "'</item>'",
+    ])
+    feeds = t("part", "p_brand AS feed", f"{item} AS item").groupBy("feed").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    head = "'<rss xmlns:content=\"c\" xmlns:itunes=\"i\" version=\"2.0\"><channel>'"
+    pages = feeds.selectExpr("feed", f"{head} || items || '</channel></rss>' AS body")
+    return readers.feed_entries(pages).select("feed", "title", "url", "guid", "summary", "transcript")
+
+
+@query("src05_search_results", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'MALFORMED' ELSE 'OK' END AS outcome, CAST(o_orderkey AS VARCHAR) AS external_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND c_custkey % 10 <> 0")
 def _(t):
-    rows = t("orders", "o_custkey AS client_id", "o_orderpriority AS marker", "o_totalprice AS value", "o_orderdate", "o_orderkey")
-    return cases.latest(rows, ["client_id", "marker"], ["o_orderdate", "o_orderkey"], ["value"])
+    ids = t("orders", "o_custkey AS c_custkey", "cast(o_orderkey AS string) AS id").groupBy("c_custkey").agg(F.to_json(F.collect_list("id")).alias("ids"))
+    rows = t("customer", "c_custkey").join(ids, "c_custkey", "left").selectExpr("c_custkey", "CASE WHEN c_custkey % 10 = 0 THEN 'oops' ELSE '{\"esearchresult\":{\"idlist\":' || coalesce(ids, '[]') || '}}' END AS payload")
+    return readers.search_results(rows)
 
 
 @query("cas22_review_queue", "SELECT o_orderkey AS review_id, o_custkey AS client_id, coalesce(holds, 0) AS holds, coalesce(notes, 0) AS notes FROM orders LEFT JOIN (SELECT o_custkey AS c, count(*) FILTER (WHERE o_totalprice > 300000) AS holds, count(*) FILTER (WHERE o_totalprice <= 300000) AS notes FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) ON c = o_custkey WHERE o_orderstatus = 'P'")

@@ -38,22 +38,28 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 
 def feed_entries(pages: DataFrame, xml_col: str = "body") -> DataFrame:
-    """Entries of RSS 2.0 and Atom texts in one shape; a guid that is missing is the link."""
+    """Entries of RSS 2.0 and Atom texts in one shape; a guid that is missing is the link.
+
+    A summary that is missing is the full content; only RSS entries have a transcript.
+    """
     link = "array<struct<_href:string,_VALUE:string>>"
-    item = "struct<title:string,link:string,guid:string,pubDate:string,description:string,enclosure:struct<_url:string>>"
-    entry = f"struct<title:string,link:{link},id:string,published:string,updated:string,summary:string>"
+    item = "struct<title:string,link:string,guid:string,pubDate:string,description:string,encoded:string,transcript:string,enclosure:struct<_url:string>>"
+    entry = f"struct<title:string,link:{link},id:string,published:string,updated:string,summary:string,content:string>"
     opts = {"ignoreNamespace": "true"}
     rss = pages.withColumn("_x", F.explode(F.from_xml(xml_col, f"struct<channel:struct<item:array<{item}>>>", opts)["channel"]["item"])).drop(xml_col)
     atom = pages.withColumn("_x", F.explode(F.from_xml(xml_col, f"struct<entry:array<{entry}>>", opts)["entry"])).drop(xml_col)
 
-    def told(df, url, guid, published, summary, media):
+    def said(c):
+        return F.nullif(F.btrim(c), F.lit(""))
+
+    def told(df, url, guid, published, summary, media, transcript):
         title = F.coalesce(F.nullif(F.btrim("_x.title"), F.lit("")), F.lit("(untitled)"))
-        cols = {"title": title, "url": url, "guid": F.coalesce(guid, url), "published": published, "summary": summary, "media": media}
+        cols = {"title": title, "url": url, "guid": F.coalesce(guid, url), "published": published, "summary": summary, "media": media, "transcript": transcript}
         return df.withColumns(cols).drop("_x")
 
     x = F.col
-    first = told(rss, x("_x.link"), x("_x.guid"), x("_x.pubDate"), x("_x.description"), x("_x.enclosure._url"))
-    second = told(atom, x("_x.link")[0]["_href"], x("_x.id"), F.coalesce("_x.published", "_x.updated"), x("_x.summary"), F.lit(None).cast("string"))
+    first = told(rss, x("_x.link"), x("_x.guid"), x("_x.pubDate"), F.coalesce(said("_x.description"), "_x.encoded"), x("_x.enclosure._url"), said("_x.transcript"))
+    second = told(atom, x("_x.link")[0]["_href"], x("_x.id"), F.coalesce("_x.published", "_x.updated"), F.coalesce(said("_x.summary"), "_x.content"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return first.unionByName(second)
 
 

@@ -7,12 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tessera.operators.ingest import chunk_sections
 
-def inbox_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New files with the hash of their bytes; retries within the watermark are dropped."""
-    files = spark.readStream.format("binaryFile").load(folder)
+
+def inbox_stream(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """New files with the hash of their bytes; retries within the watermark are dropped, as are files whose hash the store knows (sha256)."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     out = files.select("path", F.col("modificationTime").alias("landed_at"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("text"))
-    return out.withWatermark("landed_at", "1 day").dropDuplicatesWithinWatermark(["sha256"])
+    out = out.withWatermark("landed_at", "1 day").dropDuplicatesWithinWatermark(["sha256"])
+    return out if known is None else out.join(known.select("sha256"), "sha256", "left_anti")
+
+
+def inbox_chunks(inbox: DataFrame) -> DataFrame:
+    """The chunks of the files of an inbox stream."""
+    return chunk_sections(inbox.select("path", "sha256", F.col("text").alias("body")))
 
 
 def daily_spend(events: DataFrame, at: str = "ts", value: str = "value") -> DataFrame:

@@ -162,3 +162,18 @@ def test_streams_carry_their_state_over_batches(spark, tmp_path):
     assert sorted((r.key, r.seq) for r in paused) == [("u", 8), ("v", 7)]
     fed = jobs.landed(jobs.feed_stream(source.select(F.col("key").alias("source"), F.col("value").alias("guid"), F.col("at").alias("published"))), str(tmp_path / "feed")).collect()
     assert ("u", "a", 1) in {tuple(r) for r in fed}
+
+
+def test_inbox_stream_gives_chunks_of_unknown_files(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    for name, text in {"a": "one\n\ntwo", "b": "one\n\ntwo", "c": "old", "d": "x" * 3000 + "\n\n" + "y" * 3000}.items():
+        (box / f"{name}.md").write_text(text)
+    known = spark.createDataFrame([("old",)], "t string").select(F.sha2("t", 256).alias("sha256"))
+    rows = jobs.landed(jobs.inbox_chunks(jobs.inbox_stream(spark, str(box), known)), str(tmp_path / "chunks")).collect()
+    assert sorted((r.chunk_index, len(r.chunk)) for r in rows) == [(0, 8), (0, 3000), (1, 3000)]
+
+
+def test_heaviest_concepts(spark):
+    links = spark.createDataFrame([("a", 2, 1.0), ("a", 1, 1.0), ("a", 3, 0.5), ("b", 4, None), ("c", 5, 0.1)], "id string, concept_id int, weight double")
+    assert {r.id: r.bucket for r in retrieval.heaviest_concepts(links).collect()} == {"a": "1", "c": "5"}
