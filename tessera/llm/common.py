@@ -64,7 +64,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     salts, salt = private(left, "salts"), private(left, "salt")
     hot = counts.filter(F.col(key).isNotNull() & (F.col("n") > max(SALT_ROWS, total // HOT_KEYS)))
     hot = F.broadcast(hot.select(key, F.ceil(F.col("n") / SALT_ROWS).cast("long").alias(salts)))
-    dealt = F.xxhash64(*[c for c in left.columns if c != key])
+    dealt = F.xxhash64(*([c for c in left.columns if c != key] or [key]))
     rows = left.join(hot, key, "left").withColumn(salt, F.when(F.col(key).isNull(), dealt).otherwise(F.pmod(dealt, F.coalesce(salts, F.lit(1).cast("long"))))).drop(salts)
     copies = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(salts, F.lit(1).cast("long")) - 1))).drop(salts)
     return rows.join(copies, [key, salt], how).drop(salt)
