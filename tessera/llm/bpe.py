@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from tessera.llm import common as C
 
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 20
 #: Bytes encoded without a split, ids decoded without one, and matches, and bytes of them, that a worker remembers.
 LEAF_BYTES, LEAF_IDS, REMEMBERED, REMEMBERED_BYTES = 24, 1 << 16, 1 << 18, 16 << 20
 
@@ -192,6 +194,23 @@ def _with(df: DataFrame, *added: tuple[str, T.DataType]) -> tuple[T.StructType,
     return T.StructType(stay + [T.StructField(n, t) for n, t in added]), [f.name for f in stay]
 
 
+def _encoded(bpe: Bpe, column: pa.Array):
+    """(first row, row after the last, ids, ends) of each piece of a column of texts."""
+    _, offs = C.text_bytes(column)
+    for lo, hi in C.pieces(offs, PIECE):
+        yield lo, hi, *bpe.encode(column.slice(lo, hi - lo).to_pylist())
+
+
+def _listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+
+
+def _digests(bpe: Bpe, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Of each text the digest of its ids, and that of the bytes that they decode to."""
+    own = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [pa.array([hashlib.sha256(f(x)).hexdigest() for x in own], pa.string()) for f in (bpe.written, bpe.decode)]
+
+
 def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """df with the token ids of each text (array<int>); every match of the pattern is encoded on its own.
 
@@ -202,14 +221,9 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", o
     schema, names = _with(df, (out, T.ArrayType(T.IntegerType(), False)))
 
     def run(batch):
-        bpe = _held(Bpe, held.value, pattern)
-        column = batch.column(text_col)
-        _, offs = C.text_bytes(column)
-        for lo, hi in C.pieces(offs):
-            ids, ends = bpe.encode(column.slice(lo, hi - lo).to_pylist())
-            tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        for lo, hi, ids, ends in _encoded(_held(Bpe, held.value, pattern), batch.column(text_col)):
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [tokens], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [_listed(ids, ends)], names=schema.names)
 
     return C.map_batches(df, run, schema)
 
@@ -229,6 +243,24 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "token_ids", out: str =
     return C.map_batches(df, run, schema)
 
 
+def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """df with token_ids, and ids_sha256 and decoded_sha256, digests of the ids and of the bytes that they decode to.
+
+    Encoding and decoding are one pass over the texts. Null and empty texts have no ids. Repeated rows give repeated
+    rows, an empty table an empty one. Columns of these names are replaced.
+    """
+    held = _vocabulary(df, path)
+    schema, names = _with(df, ("token_ids", T.ArrayType(T.IntegerType(), False)), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
+
+    def run(batch):
+        bpe = _held(Bpe, held.value, pattern)
+        for lo, hi, ids, ends in _encoded(bpe, batch.column(text_col)):
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [_listed(ids, ends), *_digests(bpe, ids, ends)], names=schema.names)
+
+    return C.map_batches(df, run, schema)
+
+
 def bpe_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, n_tokens, and digests of its ids and of the bytes they decode to, in one pass over the texts.
 
@@ -238,17 +270,9 @@ def bpe_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     rows = df.select(id_col, text_col)
     schema, _ = _with(rows.select(id_col), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
 
-    def digest(data: bytes) -> str:
-        return hashlib.sha256(data).hexdigest()
-
     def run(batch):
         bpe = _held(Bpe, held.value, pattern)
-        column = batch.column(1)
-        _, offs = C.text_bytes(column)
-        for lo, hi in C.pieces(offs):
-            ids, ends = bpe.encode(column.slice(lo, hi - lo).to_pylist())
-            own = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [np.diff(ends), [digest(bpe.written(x)) for x in own], [digest(bpe.decode(x)) for x in own]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, columns)], names=schema.names)
+        for lo, hi, ids, ends in _encoded(bpe, batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), *_digests(bpe, ids, ends)], names=schema.names)
 
     return C.map_batches(rows, run, schema)

@@ -81,11 +81,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs
 
 
-def pieces(offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about PIECE_BYTES each; a longer row stands alone."""
+def pieces(offs: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about size bytes each; a longer row stands alone."""
     lo, n = 0, len(offs) - 1
     while lo < n:
-        hi = int(np.searchsorted(offs, offs[lo] + PIECE_BYTES, "right")) - 1
+        hi = int(np.searchsorted(offs, offs[lo] + size, "right")) - 1
         hi = min(max(hi, lo + 1), n, lo + PIECE_DOCS)
         yield lo, hi
         lo = hi

@@ -17,6 +17,8 @@ from tessera.llm import common as C
 
 #: Distinct texts that the trigram table of each language is fitted on, about, or all that it has; hashed trigrams; trigrams of a text that count as evidence.
 FIT_ROWS, GRAMS, EVIDENCE = 5000, 1 << 13, 60
+#: Bytes of a piece of a batch, whose trigrams take some sixty times as many.
+PIECE = 1 << 20
 #: Parts that the hashes of texts are dealt into to choose a sample.
 SHARES = 1 << 30
 #: Log likelihood by which a trigram of a text may fall behind noise.
@@ -58,7 +60,7 @@ def fit(df: DataFrame, text_col: str, declared_col: str, fit_rows: int = FIT_ROW
         for batch in batches:
             buf, offs = C.text_bytes(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for lo, hi in C.pieces(offs):
+            for lo, hi in C.pieces(offs, PIECE):
                 own, key = _gram_sums(buf, offs[lo : hi + 1])
                 for lang in set(langs[lo:hi]):
                     n = np.bincount(key[(langs[lo:hi] == lang)[own]], minlength=GRAMS)
@@ -81,7 +83,7 @@ def text_evidence(df: DataFrame, langs: list[str], table: np.ndarray) -> DataFra
     def run(batches):
         for batch in batches:
             buf, offs = C.text_bytes(batch.column("text"))
-            for lo, hi in C.pieces(offs):
+            for lo, hi in C.pieces(offs, PIECE):
                 own, key = _gram_sums(buf, offs[lo : hi + 1])
                 logs = np.zeros((hi - lo, len(langs)))
                 for k in range(len(langs)):
