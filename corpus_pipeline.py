@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import bpe, common, decontaminate, exact_dedup, language_id, minhash
 
@@ -31,10 +30,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids and the digests of the ids and of the text they decode to; null and empty texts have no ids."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = bpe.bpe_decode(bpe.bpe_encode(docs, path, public_tokenizers.PATTERN), path)
-    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    return rows.withColumn("ids_sha256", F.sha2(ids, 256)).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
