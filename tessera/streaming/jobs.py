@@ -13,7 +13,7 @@ from tessera.operators.ingest import chunk_sections
 def inbox_stream(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
     """New files with the hash of their bytes; retries within the watermark are dropped, as are files whose hash the store knows (sha256)."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    out = files.select("path", F.col("modificationTime").alias("landed_at"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    out = files.select("path", F.col("modificationTime").alias("landed_at"), F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     out = out.withWatermark("landed_at", "1 day").dropDuplicatesWithinWatermark(["sha256"])
     return out if known is None else out.join(known.select("sha256"), "sha256", "left_anti")
 
