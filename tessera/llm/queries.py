@@ -16,6 +16,7 @@ from tessera.llm import minhash as _minhash
 from tessera.llm import quality as _quality
 from tessera.llm import suffix_dedup as _passages
 from tessera.llm import token_counts as _tokens
+from tessera.llm import whitening as _whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), pieces)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
