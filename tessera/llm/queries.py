@@ -14,6 +14,7 @@ from tessera.llm import language_id as _language
 from tessera.llm import lm_score as _lm
 from tessera.llm import minhash as _minhash
 from tessera.llm import quality as _quality
+from tessera.llm import ranked_search as _ranked
 from tessera.llm import suffix_dedup as _passages
 from tessera.llm import token_counts as _tokens
 from tessera.llm import whitening as _whitening
@@ -76,6 +77,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), pieces)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -85,4 +90,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _leaks.SQL, "op9_exact_dedup": _exact.SQL}
+    return {"op2_decontaminate": _leaks.SQL, "op9_exact_dedup": _exact.SQL, "op11_ranked_search": _ranked.SQL}
