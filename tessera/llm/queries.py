@@ -10,6 +10,7 @@ from tessera.llm import bpe as _bpe
 from tessera.llm import decontaminate as _leaks
 from tessera.llm import exact_dedup as _exact
 from tessera.llm import html_text as _html
+from tessera.llm import jaccard_join as _jaccard
 from tessera.llm import language_id as _language
 from tessera.llm import lm_score as _lm
 from tessera.llm import minhash as _minhash
@@ -81,6 +82,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
