@@ -19,6 +19,7 @@ Shingles, subsets and sets are known by hashes of 64, 64 and 128 bits.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,13 +80,13 @@ def frequencies(docs: DataFrame) -> np.ndarray:
             for lo, hi in C.pieces(offs):
                 cells += np.bincount((_sets(buf, offs[lo : hi + 1])[1] >> _CELL_SHIFT).astype(np.int64), minlength=CELLS).astype(np.int32)
         at = np.flatnonzero(cells.reshape(SLICES, width).any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([cells[s * width : (s + 1) * width].tobytes() for s in at], pa.binary())], names=["slice", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([zlib.compress(cells[s * width : (s + 1) * width].tobytes(), 1) for s in at], pa.binary())], names=["slice", "cells"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, part in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                held[s] = held.get(s, 0) + np.frombuffer(part, np.int32).astype(np.int64)
+                held[s] = held.get(s, 0) + np.frombuffer(zlib.decompress(part), np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "cells"])
 
     kind, out = "slice int, cells binary", np.zeros((SLICES, width), np.int64)
@@ -127,22 +128,26 @@ def _list_keys(prefix: np.ndarray) -> np.ndarray:
 
 
 def boundary(sets: DataFrame) -> int:
-    """The largest size of a set that enumerates subsets, at which subsets and lists cost least."""
+    """The largest size of a set that enumerates subsets, at which subsets and lists cost least.
+
+    A subset costs its row. An entry of a list costs its row and a visit to each entry of the list. Equal sets count
+    once; the lists of every SHARE-th shingle are measured, whole, and stand for all.
+    """
     kinds = F.floor(4 * F.log2("n")).cast("int")
     kept = F.least("n", F.col("n") - F.ceil(F.col("n") * NUM / DEN) + SUBSET)
-    subsets = sets.groupBy(kinds.alias("size")).agg(F.sum(kept * (kept - 1) / 2).alias("subsets"), F.max("n").alias("most"))
+    subsets = sets.select("n", "digest").distinct().groupBy(kinds.alias("size")).agg(F.sum(kept * (kept - 1) / 2).alias("subsets"), F.max("n").alias("most"))
 
     def run(batch):
         n = batch.column("n").to_numpy()
         keys = [_list_keys(np.frombuffer(p, np.uint64)[: n[i] - least(n[i]) + 1]) for i, p in enumerate(batch.column("prefix").to_pylist())]
-        size = np.repeat(n, [len(k) for k in keys])
+        row = np.repeat(np.arange(len(n)), [len(k) for k in keys])
         keys = np.concatenate([*keys, np.zeros(0, np.int64)])
         share = (keys >> 1) % SHARE == 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[share]), pa.array(size[share])], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[share]), pa.array(n[row[share]]), batch.column("digest").take(pa.array(row[share]))], names=["key", "n", "digest"])
 
-    some = C.materialise(C.map_batches(sets.select("n", "prefix"), run, "key long, n long"))
+    some = C.materialise(C.map_batches(sets.select("n", "prefix", "digest"), run, "key long, n long, digest binary").distinct().drop("digest"))
     counts = some.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
-    scans = C.salted_join(some, counts, "key").groupBy(kinds.alias("size")).agg(F.sum(F.col("length") * SHARE).alias("scans"))
+    scans = C.salted_join(some, counts, "key").groupBy(kinds.alias("size")).agg(F.sum((F.col("length") + 1) * SHARE).alias("scans"))
     rows = subsets.join(scans, "size", "left").orderBy("size").collect()
     spared, most_spared, limit = 0.0, 0.0, 0
     for r in rows:
