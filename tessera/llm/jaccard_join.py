@@ -36,7 +36,7 @@ NUM, DEN = 80, 100
 SUBSET = 2
 #: Cells of the sketch of frequencies, and the rows that they are added up in.
 CELLS, SLICES = 1 << 22, 1024
-#: Bits of a set's bitmap.
+#: Bits of the bitmap of a set of up to as many shingles; larger sets have the next power of two.
 BITS = 1024
 #: One in so many shingles has its list measured for the boundary.
 SHARE = 64
@@ -69,6 +69,34 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array([values[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)], pa.binary())
 
 
+def _parities(sh: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Bitmaps of the sets between edges: each shingle turns over the bit that its low bits name."""
+    n, out = np.diff(edges), [b""] * (len(edges) - 1)
+    bits = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    for b in np.unique(bits):
+        own = np.flatnonzero(bits == b)
+        step = max(1, (1 << 18) // int(b))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            low = np.concatenate([sh[edges[i] : edges[i + 1]] for i in part]) & np.uint64(b - 1)
+            odd = np.bincount(np.repeat(np.arange(len(part)) * b, n[part]) + low.astype(np.int64), minlength=len(part) * int(b)) & 1
+            for i, row in zip(part, np.packbits(odd.astype(np.uint8).reshape(len(part), -1), axis=1), strict=True):
+                out[i] = row.tobytes()
+    return out
+
+
+def _folded(bitmaps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of so many words: halves of longer ones are laid over each other, as if made with fewer bits."""
+    out, size = np.zeros((len(bitmaps), words), np.uint64), np.array([len(x) for x in bitmaps]) // 8
+    for w in np.unique(size):
+        own = np.flatnonzero(size == w)
+        rows = np.frombuffer(b"".join([bitmaps[i] for i in own]), np.uint64).reshape(len(own), w)
+        while rows.shape[1] > words:
+            rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+        out[own] = rows
+    return out
+
+
 def frequencies(docs: DataFrame) -> np.ndarray:
     """How many documents' sets have a shingle of each cell, over all rows of docs (with text)."""
     width = CELLS // SLICES
@@ -106,17 +134,11 @@ def describe(docs: DataFrame, cells) -> DataFrame:
             edges = np.searchsorted(row, np.arange(rows + 1))
             n = np.diff(edges)
             digests = [hashlib.blake2b(sh[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            parity = np.zeros((rows, BITS // 8), np.uint8)
-            for at in range(0, rows, 256):
-                end = min(at + 256, rows)
-                part = slice(edges[at], edges[end])
-                odd = np.bincount((row[part] - at) * BITS + (sh[part] & np.uint64(BITS - 1)).astype(np.int64), minlength=(end - at) * BITS) & 1
-                parity[at:end] = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)
             ordered = sh[np.lexsort((sh, cells.value[(sh >> _CELL_SHIFT).astype(np.int64)], row))]
             kept = np.minimum(n, n - least(n) + SUBSET)
             prefix = ordered[np.arange(len(sh)) - np.repeat(edges[:-1], n) < np.repeat(kept, n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(lo, rows), pa.array(n), pa.array(digests, pa.binary()), _binary(prefix, np.cumsum(kept)), pa.array([p.tobytes() for p in parity], pa.binary())],
+                [batch.column("id").slice(lo, rows), pa.array(n), pa.array(digests, pa.binary()), _binary(prefix, np.cumsum(kept)), pa.array(_parities(sh, edges), pa.binary())],
                 names=["id", "n", "digest", "prefix", "bits"],
             )
 
@@ -241,9 +263,34 @@ def members(rows: DataFrame) -> DataFrame:
     return C.materialise(grouped.filter("salt = 0").select("key", "id", "hub").unionByName(hot.select("key", "id", "hub")))
 
 
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits in which bitmaps differ, at most the size of the sets' symmetric difference."""
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+class Bitmaps:
+    """Bitmaps of rows, compared pair by pair at the bits of the shorter one."""
+
+    def __init__(self, column) -> None:
+        self.rows = column.to_pylist()
+        self.words = np.array([len(x) for x in self.rows], np.int64) // 8
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each row stands among those of at least so many words, and these, folded."""
+        if words not in self.held:
+            own = np.flatnonzero(self.words >= words)
+            place = np.zeros(len(self.rows), np.int64)
+            place[own] = np.arange(len(own))
+            self.held[words] = place, _folded([self.rows[i] for i in own], words)
+        return self.held[words]
+
+    def far(self, x: np.ndarray, other: Bitmaps, y: np.ndarray) -> np.ndarray:
+        """Bits in which rows x differ from rows y of other, at most the size of the sets' symmetric difference."""
+        words, out = np.minimum(self.words[x], other.words[y]), np.zeros(len(x), np.int64)
+        for w in np.unique(words):
+            part = np.flatnonzero(words == w)
+            (i, a), (j, b) = self.at(int(w)), other.at(int(w))
+            step = max(1, (1 << 20) // int(w))
+            for at in range(0, len(part), step):
+                p = part[at : at + step]
+                out[p] = np.bitwise_count(a[i[x[p]]] ^ b[j[y[p]]]).sum(-1, dtype=np.int64)
+        return out
 
 
 def _possible(n: np.ndarray, m: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -251,10 +298,6 @@ def _possible(n: np.ndarray, m: np.ndarray, far: np.ndarray) -> np.ndarray:
     return (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & ((NUM + DEN) * (n + m - far) >= 2 * NUM * (n + m))
 
 
-def _bitmaps(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-
-
 def prune(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (id, other) whose bitmaps leave the similarity possible."""
     x = sets.select("id", F.col("n").alias("n"), F.col("bits").alias("s"))
@@ -262,7 +305,8 @@ def prune(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = C.salted_join(pairs, y, "other").join(x, "id").filter(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
 
     def run(batch):
-        far = _far(_bitmaps(batch.column("s")), _bitmaps(batch.column("t")))
+        every = np.arange(len(batch))
+        far = Bitmaps(batch.column("s")).far(every, Bitmaps(batch.column("t")), every)
         keep = np.flatnonzero(_possible(batch.column("n").to_numpy(), batch.column("m").to_numpy(), far))
         yield batch.select(["id", "other"]).take(pa.array(keep))
 
@@ -309,14 +353,14 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
 def _pairs_of(table: pa.Table, best: int) -> np.ndarray:
     """Possible pairs of an own row and another of a different component; with best, the so many most alike of each own row."""
     ids, comp, n, own = (table.column(c).to_numpy() for c in ("id", "comp", "n", "own"))
-    bits, mine, others = _bitmaps(table.column("bits")), np.flatnonzero(own), np.flatnonzero(~own)
+    bits, mine, others = Bitmaps(table.column("bits")), np.flatnonzero(own), np.flatnonzero(~own)
     out = [np.zeros((0, 2), np.int64)]
     step = max(1, (1 << 15) // max(1, len(others)))
     for at in range(0, len(mine), step):
         x = mine[at : at + step]
         a, b = np.nonzero((comp[x][:, None] != comp[others]) & (DEN * np.minimum(n[x][:, None], n[others]) >= NUM * np.maximum(n[x][:, None], n[others])))
         x, y = x[a], others[b]
-        far = _far(bits[x], bits[y])
+        far = bits.far(x, bits, y)
         keep = _possible(n[x], n[y], far)
         x, y, far = x[keep], y[keep], far[keep]
         if best:
