@@ -9,10 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import adherence_band, norm_phrase
+from tessera.operators.phrases import PART_BYTES, find_phrases
 
 # Statuses under which an intervention is live, and the least people of a cohort.
 LIVE = ("PROPOSED", "APPROVED", "STARTED", "ONGOING", "MODIFIED")
 MIN_COHORT = 5
+# Fixed value: letters of the shortest name or reference that is looked for.
+MIN_NAME = 3
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
@@ -140,14 +143,40 @@ def cohort_summary(obs: DataFrame) -> DataFrame:
     return out.filter(F.col("people") >= MIN_COHORT)
 
 
-def scan_identifiers(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, has_uuid, has_email, has_phone) for texts that carry one."""
+def client_phrases(clients: DataFrame) -> DataFrame:
+    """(kind, phrase): the display names and external references of clients, trimmed and folded to lower case, each once."""
+    told = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lower(F.btrim(F.col(c).cast("string"))).alias("phrase")) for kind, c in (("NAME", "display_name"), ("REFERENCE", "external_ref"))]))
+    return clients.select(told).filter(F.length("phrase") >= MIN_NAME).distinct()
+
+
+def scan_clients(rows: DataFrame, key: str, text: str, clients: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(key, kind, phrase): each client name and reference that a text carries, in any case and within words too.
+
+    clients: (display_name, external_ref). Names are read as they are written, without wildcards. Null texts carry none.
+    """
+    phrases = client_phrases(clients)
+    found = find_phrases(rows.select(key, F.lower(F.col(text)).alias("_text")), key, "_text", phrases, "phrase", part_bytes).distinct()
+    return found.join(phrases, "phrase").select(key, "kind", "phrase")
+
+
+def scan_identifiers(rows: DataFrame, key: str, text: str, clients: DataFrame | None = None) -> DataFrame:
+    """(key, has_uuid, has_email, has_phone) for texts that carry one; with clients has_name and has_reference as well."""
     c = F.coalesce(F.col(text), F.lit(""))
     out = rows.select(
         key, c.rlike(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}").alias("has_uuid"),
         c.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("has_email"), c.rlike(r"\+?[0-9]{3}[-. ][0-9]{3,4}[-. ][0-9]{4}").alias("has_phone"),
     )
-    return out.filter("has_uuid or has_email or has_phone")
+    if clients is None:
+        return out.filter("has_uuid or has_email or has_phone")
+    named = scan_clients(rows, key, text, clients).groupBy(key).agg(F.bool_or(F.col("kind") == "NAME").alias("has_name"), F.bool_or(F.col("kind") == "REFERENCE").alias("has_reference"))
+    out = out.join(named, key, "left").fillna(False, ["has_name", "has_reference"])
+    return out.filter("has_uuid or has_email or has_phone or has_name or has_reference")
+
+
+def refuse_identified(aggregates: DataFrame, key: str, texts: list[str], clients: DataFrame) -> DataFrame:
+    """The aggregates that may leave the client layer: those none of whose texts, taken together, carries an identifier."""
+    told = aggregates.select(key, F.concat_ws(" ", *texts).alias("_text"))
+    return aggregates.join(scan_identifiers(told, key, "_text", clients).select(key), key, "left_anti")
 
 
 def diff_aggregates(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:

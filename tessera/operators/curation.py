@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import key_for, norm_phrase
 from tessera.operators.foundation import CONFIDENCES
 from tessera.operators.resolve import live
-from tessera.operators.retrieval import lexemes
+from tessera.operators.retrieval import STOP_WORDS, lexemes
 
 # Designs of studies, relationships of evidence, decisions, roles of a link, marks of a sentence.
 STUDY_DESIGNS = (
@@ -173,13 +173,13 @@ def units(fields: DataFrame, rules: list[tuple[str, str, str, tuple[str, ...] |
     return fields.select(*keys, "field_name", "value", F.col("source_start").cast("long")).mapInArrow(run, schema)
 
 
-def name_shape(found: DataFrame, phrase_col: str = "phrase") -> DataFrame:
+def name_shape(found: DataFrame, phrase_col: str = "phrase", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """found with reason: why a phrase is no name, or null if it is one."""
     s = F.btrim(F.col(phrase_col))
     why = F.when(F.coalesce(s, F.lit("")) == "", "empty").when(s.endswith(":"), "ends in a colon")
     for mark in SENTENCE_MARKS:
         why = why.when(s.contains(mark), F.lit(f"contains {mark}"))
-    return found.withColumn("reason", why.when(F.size(lexemes(s)) == 0, "stop words only"))
+    return found.withColumn("reason", why.when(F.size(lexemes(s, stop_words)) == 0, "stop words only"))
 
 
 def resolve_units(found: DataFrame, resolutions: DataFrame, concepts: DataFrame) -> DataFrame:

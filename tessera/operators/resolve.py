@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import disambiguate, key_for, norm_phrase, trgm_similarity, trigrams
+from tessera.operators.nearest import nearest
 
 # Thresholds of the tiers and of generated confusables.
 TRIGRAM_FLOOR, TRIGRAM_ACCEPT, TIE_BAND, TRIGRAM_TOP = 0.72, 0.92, 0.01, 5
@@ -102,23 +103,9 @@ def tier_trigram(phrases: DataFrame, concepts: DataFrame, aliases: DataFrame) ->
     return _tier(top.join(ok.select("concept_id", "concept_type"), "concept_id"), 3, TRIGRAM_ACCEPT)
 
 
-def cosine(a, b):
-    return F.greatest(F.lit(0.0), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v))
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, q_id: str, v_id: str, k: int) -> DataFrame:
-    """(q_id, v_id, score): exact nearest by cosine of unit vectors; a stated query set against all rows.
-
-    Each block of rows keeps its k best, so the shuffle carries blocks * k rows of a query.
-    """
-    q = queries.select(q_id, F.col("embedding").alias("_q"))
-    scored = vectors.select(v_id, F.col("embedding").alias("_v")).withColumn("_block", F.pmod(F.xxhash64(v_id), F.lit(64)))
-    scored = scored.join(F.broadcast(q), F.col(q_id) != F.col(v_id)) if q_id == v_id else scored.crossJoin(F.broadcast(q))
-    scored = scored.select(q_id, v_id, "_block", F.round(cosine(F.col("_q"), F.col("_v")), 6).alias("score"))
-    for keys in ([q_id, "_block"], [q_id]):
-        w = W.partitionBy(*keys).orderBy(F.desc("score"), v_id)
-        scored = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return scored.drop("_block")
+    """(q_id, v_id, score, rank): exact nearest by cosine of unit vectors, by matrix products of blocks."""
+    return nearest(queries, vectors, q_id, v_id, k)
 
 
 def tier_semantic(phrase_vectors: DataFrame, concepts: DataFrame) -> DataFrame:

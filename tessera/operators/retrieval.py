@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.stem import STOP_WORDS as ENGLISH
+from tessera.functions.stem import stems
 from tessera.operators.resolve import live, top_k
 
 # Channel weights and the pass mark of an evaluation.
@@ -20,9 +22,39 @@ SENT_WORDS, BLOCKS = 1_000_000, 64
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the this to was were will with".split()
 
 
-def lexemes(c):
+def lexemes(c, stop_words: list[str] = STOP_WORDS):
     """Column: lower-case words of letters and digits without stop words."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*stop_words))
+
+
+def query_stems(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, stem): the distinct English stems of each query, without stop words; a query without any has no rows."""
+    words = queries.select(id_col, F.explode(F.array_distinct(lexemes(F.col(text_col), ENGLISH))).alias("lexeme"))
+    return words.join(stems(words), "lexeme").select(id_col, "stem").distinct()
+
+
+def stem_postings(docs: DataFrame, kind: str, id_col: str, text_col: str, bucket_col: str, searched: DataFrame | None = None) -> DataFrame:
+    """The inverted index by English stems: (stem, kind, id, bucket, tf). searched (stem): only of these, of a stated set of queries.
+
+    Each distinct word is stemmed once; words meet their stems after they are counted by document.
+    """
+    words = docs.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("id"), F.col(bucket_col).cast("string").alias("bucket"), F.explode(lexemes(F.col(text_col), ENGLISH)).alias("lexeme"))
+    counted = words.groupBy("lexeme", "kind", "id", "bucket").agg(F.count(F.lit(1)).alias("tf"))
+    known = stems(words)
+    if searched is not None:
+        known = known.join(searched.select("stem").distinct(), "stem", "left_semi")
+    return counted.join(known, "lexeme").groupBy("stem", "kind", "id", "bucket").agg(F.sum("tf").alias("tf"))
+
+
+def by_stems(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """queries (query_id, stem), index of stem_postings(): OR of the stems; the rank is the number of matching occurrences."""
+    hits = index.join(queries, "stem").groupBy("query_id", "kind", "id", "bucket").agg(F.sum("tf").cast("double").alias("raw"))
+    return hits.withColumn("channel", F.lit("fts")).select(*HITS)
+
+
+def with_labels(hits: DataFrame, texts: DataFrame, most: int = 120) -> DataFrame:
+    """hits with label: of texts (kind, id, label) the first letters of the hit's own, null if it has none."""
+    return hits.join(texts.select("kind", F.col("id").cast("string").alias("id"), F.left("label", F.lit(most)).alias("label")), ["kind", "id"], "left")
 
 
 def postings(docs: DataFrame, kind: str, id_col: str, text_col: str, bucket_col: str, searched: DataFrame | None = None) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.library import PAUSE_AFTER
 from tessera.streaming import jobs
+from tessera.streaming.folders import shared_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,8 +20,7 @@ def query(name: str, sql: str):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
             events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-            shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-            return jobs.landed(f(events), f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}")
+            return jobs.landed(f(events), shared_folder(spark))
 
         QUERIES[name], ORACLE[name] = run, sql
         return f
