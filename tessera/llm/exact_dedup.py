@@ -66,11 +66,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     each of them; of rows that agree in both, one stays. Null texts count as empty. Any column names may stand
     beside; an empty table gives an empty table.
     """
-    name, sha = C.private(df, "drop"), C.private(df, "sha")
+    name, gone, sha = (C.private(df, n) for n in ("drop", "drop_sha", "sha"))
     lost = exact_groups(df, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("keep_id")))
-    drop = lost.select(F.col(id_col).alias(name), F.col("text_sha256").alias(f"{name}_sha")).distinct()
+    drop = lost.select(F.col(id_col).alias(name), F.col("text_sha256").alias(gone)).distinct()
     once = df.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, sha])
-    return once.join(drop, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(sha) == F.col(f"{name}_sha")), "left_anti").drop(sha)
+    return once.join(drop, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(sha) == F.col(gone)), "left_anti").drop(sha)
 
 
 SQL = """

@@ -17,6 +17,8 @@ from tessera.llm import common as C
 
 #: Distinct texts that the trigram table of each language is fitted on, about, or all that it has; hashed trigrams; trigrams of a text that count as evidence.
 FIT_ROWS, GRAMS, EVIDENCE = 5000, 1 << 13, 60
+#: Languages that have a table at most, those of most rows; texts that declare another aren't rejected.
+LANGUAGES = 256
 #: Bytes of a piece of a batch, whose trigrams take some sixty times as many.
 PIECE = 1 << 20
 #: Parts that the hashes of texts are dealt into to choose a sample.
@@ -43,12 +45,13 @@ def _gram_sums(buf: np.ndarray, offs: np.ndarray):
 def fit(df: DataFrame, text_col: str, declared_col: str, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each hashed trigram in each.
 
-    All declared languages of df count. A language with up to fit_rows distinct texts is fitted on all of them,
+    The LANGUAGES declared languages of most rows of df count. A language with up to fit_rows distinct texts is fitted on all of them,
     a larger one on about fit_rows, chosen by hash; copies of a text count once.
     """
     rows = df.select(F.col(declared_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("hash").alias("n"))
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return [], np.zeros((0, GRAMS))
     # the number of texts is an estimate: a language is thinned out only if it surely has more than enough
@@ -65,7 +68,7 @@ def fit(df: DataFrame, text_col: str, declared_col: str, fit_rows: int = FIT_ROW
                 for lang in set(langs[lo:hi]):
                     n = np.bincount(key[(langs[lo:hi] == lang)[own]], minlength=GRAMS)
                     at = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "gram", "n"])
 
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in counts})
@@ -162,10 +165,10 @@ def keep_identified(df: DataFrame, text_col: str = "text", declared_col: str = "
     gives an empty table. Verdicts are joined by a digest of what they were made from, dealt over DEALT salts, as
     one text may be a third of all rows.
     """
-    key, salt, drop = (C.private(df, n) for n in ("key", "salt", "drop"))
+    key, salt, drop, dealt = (C.private(df, n) for n in ("key", "salt", "drop", "drop_salt"))
     told = F.array(*[F.coalesce(F.sha2(F.col(f"`{c}`").cast("string"), 256), F.lit("")) for c in (text_col, declared_col, host_col)])
     rows = df.withColumn(key, F.sha2(F.array_join(told, ","), 256))
     judged = identify(rows, key, text_col, declared_col, host_col).filter("not accepted").select(F.col(key).alias(drop)).distinct()
-    judged = judged.withColumn(f"{drop}_salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    judged = judged.withColumn(dealt, F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(DEALT)).cast("int"))
-    return rows.join(judged, (F.col(key) == F.col(drop)) & (F.col(salt) == F.col(f"{drop}_salt")), "left_anti").drop(key, salt)
+    return rows.join(judged, (F.col(key) == F.col(drop)) & (F.col(salt) == F.col(dealt)), "left_anti").drop(key, salt)

@@ -185,7 +185,7 @@ def score_against(df: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text
     ones, twos = ngram_counts(corpus, text_col)
     total = ones.agg(F.sum("c").alias("total"))
     starts = ones.select(F.col("w").alias("v"), F.col("c").alias("cv"))
-    grams = df.select(id_col, F.inline(_pairs("ws"))) if "ws" in df.columns else df.select(id_col, _words(text_col).alias("ws")).select(id_col, F.inline(_pairs("ws")))
+    grams = df.select(id_col, _words(text_col).alias("ws")).select(id_col, F.inline(_pairs("ws")))
     grams = grams.groupBy(id_col, "v", "w").agg(F.count(F.lit(1)).alias("times"))
     joined = grams.join(twos.withColumnRenamed("c", "cvw"), ["v", "w"], "left").join(starts, "v", "left").join(ones, "w", "left").crossJoin(F.broadcast(total))
     log = F.when(F.col("cvw").isNotNull(), F.log(F.col("cvw") / F.col("cv"))).otherwise(F.log(alpha * F.coalesce("c", F.lit(UNKNOWN)) / F.col("total")))

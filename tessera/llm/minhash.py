@@ -329,9 +329,20 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay: one document of each group, that of the smallest id.
 
-    An id is one document with one text: repeated rows of an id that stays all stay (exact dedup takes those), as
-    do rows without an id and rows without words. An id with several texts is compared by one of them. An empty table gives an empty table. Any column names may stand beside.
+    Each row is judged by its own text: where an id has several texts, each of them is a document of its own. Rows
+    of one id and one text share their fate (exact dedup takes those); rows without an id and rows without words
+    stay. An empty table gives an empty table. Any column names may stand beside.
     """
-    name = C.private(df, "drop")
-    drop = near_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias(name)).distinct()
-    return df.join(drop, F.col(id_col) == F.col(name), "left_anti")
+    name, gone, sha = (C.private(df, n) for n in ("drop", "drop_sha", "sha"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null").withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    shas = docs.groupBy("id").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi"))
+    if shas.filter("lo <> hi").isEmpty():
+        drop = near_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col).cast("long").alias(name)).distinct()
+        return df.join(drop, F.col(id_col) == F.col(name), "left_anti")
+    # documents are numbered in the order of their ids, so that the smallest number of a group is of its smallest id
+    once = docs.dropDuplicates(["id", "sha"]).repartitionByRange("id", "sha").sortWithinPartitions("id", "sha")
+    once = C.materialise(once.withColumn("number", F.monotonically_increasing_id()))
+    lost = near_groups(once, "number", "text").filter("not kept").select("number").join(once, "number")
+    lost = lost.select(F.col("id").alias(name), F.col("sha").alias(gone))
+    rows = df.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return rows.join(lost, (F.col(id_col) == F.col(name)) & (F.col(sha) == F.col(gone)), "left_anti").drop(sha)
