@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +76,22 @@ def html_to_text(c) -> Column:
     return F.btrim(F.regexp_replace(out, r"\n{3,}", "\n\n"), F.lit(" \n\t"))
 
 
+# What is done to a page's markup, one after the other, before its entities are decoded.
+MARKUP_STEPS = (
+    (r"(?is)<script\b.*?</script>|<style\b.*?</style>", " "),
+    (r"(?i)</(?:div|h[1-6]|li|p|section|tr)>", "\n\n"),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"<[^>]+>", ""),
+)
+
+
+def page_text(c) -> Column:
+    """Text of a page as it is landed: scripts and styles become a blank, block ends a blank line, br a line end; line ends are \n, nothing is trimmed or collapsed."""
+    out = reduce(lambda text, step: F.regexp_replace(text, *step), MARKUP_STEPS, c)
+    out = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, out)
+    return F.regexp_replace(out, r"\r\n?", "\n")
+
+
 def video_id(c) -> Column:
     """The 11-character id of a bare id or of any form of a video address."""
     bare = F.when(c.rlike(r"^[A-Za-z0-9_-]{11}$"), c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -164,6 +164,21 @@ def diagnostics(hits: DataFrame, page: DataFrame) -> DataFrame:
     return found.join(shown, "query_id", "left")
 
 
+def observed_page(hits: DataFrame, folder: str, limit: int = 20, n_concepts: int = 1, kinds: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """The page of retrieve(), and metrics of the run that made it: hits, hits of each channel, cap, shown, deferred.
+
+    The hits are written to folder once and the page beside them; what is counted is counted while they are written,
+    so the channels run once and no metric reads them again.
+    """
+    spark, seen, shown = hits.sparkSession, Observation(), Observation()
+    hits = hits.filter(F.col("kind").isin(*kinds)) if kinds else hits
+    counts = [F.count_if(F.col("channel") == c).alias(f"{c}_hits") for c in WEIGHTS]
+    hits.observe(seen, F.count(F.lit(1)).alias("hits"), *counts).write.parquet(f"{folder}/hits")
+    page = retrieve(spark.read.schema(hits.schema).parquet(f"{folder}/hits"), limit, n_concepts)
+    page.observe(shown, F.count(F.lit(1)).alias("shown"), F.count_if("deferred").alias("deferred")).write.parquet(f"{folder}/page")
+    return spark.read.schema(page.schema).parquet(f"{folder}/page"), seen.get | {"cap": max(1, limit // max(1, n_concepts))} | shown.get
+
+
 def record_hits(page: DataFrame) -> DataFrame:
     return page.select("query_id", F.explode("buckets").alias("concept_id")).distinct().groupBy("concept_id").agg(F.count(F.lit(1)).alias("retrieval_hits"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import batched, casework, core, curation, lexical, resolver, states, streams, upkeep
+from tessera.plans import batched, casework, core, curation, lexical, queues, resolver, states, streams, upkeep
 
-MODULES = [casework, core, states, resolver, curation, upkeep, streams, lexical, batched]
+MODULES = [casework, core, states, resolver, curation, upkeep, streams, lexical, batched, queues]
 
 
 def queries() -> dict:
