@@ -44,6 +44,8 @@ SHARE = 64
 SALT_ROWS = 1 << 14
 #: Partners of a member that are confirmed before the rest, and members of a block.
 BEST, BLOCK = 3, 2048
+#: Pairs that a task looks at together.
+PAIRS = 1 << 19
 #: Ids that may be broadcast to fetch their sets; more are joined.
 BROADCAST_IDS = 1 << 20
 
@@ -350,16 +352,23 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     return C.materialise(C.map_batches(both.select("id", "other", "a", "b"), run, "id long, other long").distinct())
 
 
-def _pairs_of(table: pa.Table, best: int) -> np.ndarray:
-    """Possible pairs of an own row and another of a different component; with best, the so many most alike of each own row."""
+def _pairs_of(table: pa.Table, group: np.ndarray, best: int) -> np.ndarray:
+    """Possible pairs of an own row and another of its group with a different component; with best, the so many most alike of each own row.
+
+    group numbers the rows' groups, rising; the pairs of all groups are looked at PAIRS at a time.
+    """
     ids, comp, n, own = (table.column(c).to_numpy() for c in ("id", "comp", "n", "own"))
     bits, mine, others = Bitmaps(table.column("bits")), np.flatnonzero(own), np.flatnonzero(~own)
-    out = [np.zeros((0, 2), np.int64)]
-    step = max(1, (1 << 15) // max(1, len(others)))
-    for at in range(0, len(mine), step):
-        x = mine[at : at + step]
-        a, b = np.nonzero((comp[x][:, None] != comp[others]) & (DEN * np.minimum(n[x][:, None], n[others]) >= NUM * np.maximum(n[x][:, None], n[others])))
-        x, y = x[a], others[b]
+    first, last = (np.searchsorted(group[others], group[mine], side) for side in ("left", "right"))
+    ends, out = np.cumsum(last - first), [np.zeros((0, 2), np.int64)]
+    at = 0
+    while at < len(mine):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        count = (last - first)[at:end]
+        x = np.repeat(mine[at:end], count)
+        y = others[np.arange(len(x)) + np.repeat(first[at:end] - (np.cumsum(count) - count), count)]
+        live = (comp[x] != comp[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
+        x, y = x[live], y[live]
         far = bits.far(x, bits, y)
         keep = _possible(n[x], n[y], far)
         x, y, far = x[keep], y[keep], far[keep]
@@ -369,6 +378,7 @@ def _pairs_of(table: pa.Table, best: int) -> np.ndarray:
             place = np.arange(len(x)) - np.searchsorted(x, x)
             x, y = x[place < best], y[place < best]
         out.append(np.column_stack([ids[x], ids[y]]))
+        at = end
     pairs = np.concatenate(out)
     return np.unique(np.column_stack([pairs.max(1), pairs.min(1)]), axis=0) if len(pairs) else pairs
 
@@ -399,10 +409,9 @@ def block_pairs(shared: DataFrame, comps: DataFrame, sets: DataFrame, best: int,
 
     def run(batches):
         for table in _runs(batches, group):
-            table = table.combine_chunks()
-            at = np.append(_starts(table, group), len(table))
-            found = [_pairs_of(table.slice(a, b - a), best) for a, b in zip(at[:-1], at[1:], strict=True)]
-            pairs = np.unique(np.concatenate(found), axis=0)
+            table, new = table.combine_chunks(), np.zeros(len(table), np.int64)
+            new[_starts(table, group)] = 1
+            pairs = _pairs_of(table, np.cumsum(new), best)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["id", "other"])
 
     # dealt over a stated number of partitions, as rows are few for the work on them

@@ -70,7 +70,8 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize(("limit", "block"), [(0, 3), (12, 2048), (10**9, 4)])
-def test_components_equal_brute_force(spark, limit, block):
+def test_components_equal_brute_force(spark, monkeypatch, limit, block):
+    monkeypatch.setattr(jaccard, "PAIRS", 1 << block)
     rows = corpus(block)
     if limit == 10**9:  # all sets enumerate subsets
         rows = [r for r in rows if len(r[1].split()) < 60]
