@@ -16,6 +16,8 @@ LIVE = ("PROPOSED", "APPROVED", "STARTED", "ONGOING", "MODIFIED")
 MIN_COHORT = 5
 # Fixed value: letters of the shortest name or reference that is looked for.
 MIN_NAME = 3
+#: Patterns of a registry that names are compared with one by one.
+FEW_PATTERNS = 64
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
@@ -62,9 +64,24 @@ def fold_outcomes(events: DataFrame, key: str, value: str, order: list[str]) ->
 
 
 def match_class(names: DataFrame, patterns: DataFrame, name: str) -> DataFrame:
-    """(.., match_class): names that contain a pattern of a class; patterns is a bounded registry."""
-    p = F.broadcast(patterns.filter("active").select("match_class", norm_phrase(F.col("pattern")).alias("_p")))
-    return names.join(p, norm_phrase(F.col(name)).contains(F.col("_p"))).drop("_p").distinct()
+    """(.., match_class): names that contain a pattern of a class, both normalised.
+
+    Up to FEW_PATTERNS patterns are compared one by one; of more, an automaton finds those of each distinct name.
+    """
+    own = "_norm"
+    while own in names.columns:
+        own += "_"
+    p = patterns.filter("active").select("match_class", norm_phrase(F.col("pattern")).alias("_p")).distinct()
+    rows, few = names.withColumn(own, norm_phrase(F.col(name))), p
+    many = p.limit(FEW_PATTERNS + 1).count() > FEW_PATTERNS
+    if many:
+        few = p.filter("_p = ''")
+    out = rows.join(F.broadcast(few), F.col(own).contains(F.col("_p"))).drop("_p", own)
+    if many:
+        found = find_phrases(rows.select(own).distinct(), own, own, p, "_p").withColumnRenamed("phrase", "_p")
+        found = found.join(p, "_p").select(own, "match_class").distinct()
+        out = out.unionByName(rows.join(found, own).drop(own))
+    return out.distinct()
 
 
 def rule_critical(latest_values: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -123,7 +123,10 @@ def channel_weights(hits: DataFrame) -> DataFrame:
 
 def merge_hits(hits: DataFrame, weights: DataFrame) -> DataFrame:
     best = hits.groupBy("query_id", "kind", "id", "channel").agg(F.max("score").alias("score"), F.collect_set("bucket").alias("b"))
-    rows = best.join(weights, ["query_id", "channel"])
+    return _merged(best.join(weights, ["query_id", "channel"]))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "kind", "id").agg(
         F.round(F.sum(F.col("score") * F.col("weight")), 6).alias("score"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("b")))).alias("buckets"),
@@ -153,9 +156,18 @@ def rerank(rows: DataFrame, limit: int, cap) -> DataFrame:
 
 
 def retrieve(hits: DataFrame, limit: int = 20, n_concepts: int = 1, kinds: list[str] | None = None) -> DataFrame:
-    """The page of each query from the hits of all channels."""
+    """The page of each query from the hits of all channels: the rows of merge_hits() over normalise_scores(), reranked.
+
+    Hits are put together by item and channel first; the best of each channel, the channels' weights and the scores
+    are all taken from these rows, so that the channels run once and their exchange is used again.
+    """
     hits = hits.filter(F.col("kind").isin(*kinds)) if kinds else hits
-    return rerank(merge_hits(normalise_scores(hits), channel_weights(hits)), limit, derive_cap(F.lit(limit), F.lit(n_concepts)))
+    best = hits.groupBy("query_id", "kind", "id", "channel").agg(F.max("raw").alias("raw"), F.collect_set("bucket").alias("b"))
+    # taken with the buckets' number, so that both sides of the join read the same columns
+    tops = best.groupBy("query_id", "channel").agg(F.max(F.struct("raw", F.size("b").alias("n")))["raw"].alias("_top"))
+    rows = best.join(tops.join(channel_weights(tops), ["query_id", "channel"]), ["query_id", "channel"])
+    rows = rows.withColumn("score", F.when(F.col("_top") > 0, F.col("raw") / F.col("_top")).otherwise(0.0))
+    return rerank(_merged(rows), limit, derive_cap(F.lit(limit), F.lit(n_concepts)))
 
 
 def diagnostics(hits: DataFrame, page: DataFrame) -> DataFrame:

@@ -90,3 +90,14 @@ def test_nearest_has_no_cross_join(spark):
     rows = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id")).alias("embedding"))
     plan = nearest.nearest(rows.filter("id < 9").withColumnRenamed("id", "q"), rows, "q", "id", 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_classes_of_names_by_few_and_by_many_patterns(spark, monkeypatch, few):
+    monkeypatch.setattr(cases, "FEW_PATTERNS", few)
+    rows = [("INSULIN", "insulin", True), ("INSULIN", "Glar,  gine", True), ("OTHER", "in", True), ("OTHER", "met", False), ("ALL", " ", True)]
+    patterns = spark.createDataFrame(rows, "match_class string, pattern string, active boolean")
+    names = spark.createDataFrame([(1, "Insulin glargine"), (1, "Insulin glargine"), (2, "metformin"), (3, None), (4, "salt"), (5, "glar,gine")], "id int, name string")
+    got = sorted(map(tuple, cases.match_class(names, patterns, "name").collect()))
+    want = {(i, n, c) for i, n in [(1, "Insulin glargine"), (2, "metformin"), (4, "salt"), (5, "glar,gine")] for c, p in [("INSULIN", "insulin"), ("INSULIN", "glar gine"), ("OTHER", "in"), ("ALL", "")] if p in n.lower().replace(",", " ")}
+    assert got == sorted(want)
