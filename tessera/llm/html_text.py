@@ -3,9 +3,13 @@
 Markup is stripped to lines: a block element gives a line, the edge of a container ends a run of lines, and
 what stands in a menu, header, footer, sidebar, notice, advert, form or comment gives none. Each line has a
 weight: its characters outside links up to LONG; in an article or main element LONG; and where a page has
-such an element, lines outside it count OUTER of their characters. Weights are summed over sliding windows
-of WINDOW lines of a run. Text surges at the first run whose windows reach a threshold taken from the
-page and dives after the last one; all lines between are kept, but for runs of links.
+such an element, lines outside it count OUTER of their characters, or nothing if the element has paragraphs. Weights
+are summed over sliding windows of WINDOW lines of a run. Text surges at the first run whose windows reach a
+threshold taken from the page and dives after the last one; all lines between are kept, but for runs of links. On
+pages without such an element, short runs of paragraphs and headings next to these belong to them.
+
+A name of a class removes nothing that holds all articles of the page, and a name that may stand for anything
+(WEAK) nothing that holds a paragraph of HELD characters. A br ends a line, as an element of its own would.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Characters a line counts as at most; share that counts of lines outside an article; share of a page's mean window that a run has to reach; share of links of a run of links.
 LONG, OUTER, SHARE, LINKED = 240, 1 / 16, 1 / 16, 0.5
+#: Characters outside links of a paragraph that a weak name doesn't remove.
+HELD = 100
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset(["p", "blockquote", "pre"])
 
 # Element names and the words of class, id and role that mark what isn't main text.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -33,16 +40,18 @@ RAW = frozenset("script style noscript template iframe object svg math canvas au
 DROPPED = RAW | frozenset("head nav footer aside form menu dialog fieldset label".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer comment comments commentlist respond replies disqus "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer comment comments commentlist cmt cmts respond replies disqus "
     "share sharing social related recommended newsletter subscribe subscription signup login search popup modal overlay toolbar pagination pager "
     "complementary contentinfo skip".split()
 )
+# Marks that name a form rather than a content.
+WEAK = frozenset("widget popup modal overlay panel".split())
 OUTER_MARKS = MARKS | frozenset("header masthead topbar".split())
 # Words that may stand beside a mark in one name.
 BESIDE = frozenset(
     "site page main global primary secondary left right top bottom upper lower inner outer first last box bar block area section wrapper wrap container holder "
     "row col column panel list item items link links button buttons icon icons slot unit google body content text title heading label form field input article "
-    "articles post posts story stories entry policy more read teaser tools count feed thread tree mobile desktop sticky fixed inline js".split()
+    "articles post posts story stories entry user users reader readers visitor visitors policy more read teaser tools count feed thread tree mobile desktop sticky fixed inline js".split()
 )
 IMPLIED_END = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
@@ -52,19 +61,22 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$)|display\s*:\s*none|aria-hidden\s
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _is_marked(attributes: str, inner: bool) -> bool:
-    """Hidden, or one of its class, id and role names is made of marks and of words that stand beside them."""
+def _marked(attributes: str, inner: bool) -> str:
+    """"hidden", or "strong" or "weak" if one of its class, id and role names is made of marks and of words that stand beside them; else empty."""
     if not attributes.strip():
-        return False
+        return ""
     if _HIDDEN.search(attributes):
-        return True
+        return "hidden"
+    found = ""
     marks = MARKS if inner else OUTER_MARKS
     for m in _MARKED.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
             parts = {p.lower() for p in _PART.findall(name) if not p.isdigit()}
             if parts & marks and parts <= marks | BESIDE:
-                return True
-    return False
+                if parts & marks - WEAK:
+                    return "strong"
+                found = "weak"
+    return found
 
 
 class Tag(NamedTuple):
@@ -76,10 +88,10 @@ class Tag(NamedTuple):
     empty: bool
 
 
-def tags_of(page: str) -> tuple[list[Tag], set[int]]:
-    """The tags of a page, without what stands in raw elements, and the numbers of the start tags whose end is there."""
+def tags_of(page: str) -> tuple[list[Tag], dict[int, int]]:
+    """The tags of a page, without what stands in raw elements, and of the start tags whose end is there the number of that end."""
     tags: list[Tag] = []
-    ended: set[int] = set()
+    ended: dict[int, int] = {}
     open_at: dict[str, list[int]] = {}
     no_end: set[str] = set()
     at = 0
@@ -95,7 +107,7 @@ def tags_of(page: str) -> tuple[list[Tag], set[int]]:
                 no_end.add(name)
         tags.append(Tag(tag.start(), at, closing, name, tag[3] or "", empty))
         if closing and open_at.get(name):
-            ended.add(open_at[name].pop())
+            ended[open_at[name].pop()] = len(tags) - 1
         elif name and not closing and not empty:
             open_at.setdefault(name, []).append(len(tags) - 1)
     return tags, ended
@@ -106,9 +118,23 @@ class Line(NamedTuple):
     inner: bool
     linked: int
     heading: bool
+    paragraph: bool
     run: int
 
 
+def _holds_text(page: str, tags: list[Tag], start: int, end: int) -> bool:
+    """Whether a block between the tags start and end has HELD characters outside links."""
+    size, in_link = 0, False
+    for before, tag in zip(tags[start:end], tags[start + 1 : end + 1], strict=True):
+        in_link = before.name == "a" and not before.closing or in_link and before.name != "a"
+        size += 0 if in_link else len(" ".join(page[before.end : tag.start].split()))
+        if size >= HELD:
+            return True
+        if tag.name in BLOCKS:
+            size = 0
+    return False
+
+
 def lines_of(page: str) -> list[Line]:
     """The lines of a page in its order, with the number of the run each is in.
 
@@ -119,12 +145,14 @@ def lines_of(page: str) -> list[Line]:
     inner, at, run = 0, 0, 0
     in_link, linked, heading = False, 0, False
     dropped, nested, to_block = "", 0, False
+    paragraph = False
     tags, ended = tags_of(page)
+    articles = [i for i, t in enumerate(tags) if t.name in ("article", "main") and not t.closing]
 
     def close(edge: bool) -> None:
         nonlocal linked, run
         if text := " ".join(html.unescape("".join(held)).split()):
-            lines.append(Line(text, inner > 0, min(linked, len(text)), heading, run))
+            lines.append(Line(text, inner > 0, min(linked, len(text)), heading, paragraph, run))
         held.clear()
         linked = 0
         run += edge
@@ -149,10 +177,16 @@ def lines_of(page: str) -> list[Line]:
             close(name in CONTAINERS)
             to_block = False
             heading = not closing and name in HEADINGS
+            paragraph = paragraph if name == "br" else not closing and name in PARAGRAPHS
         if name == "a":
             in_link = not closing
         if not closing and not tag.empty and name not in ("html", "body", "main"):
-            if name in DROPPED or (name == "header" and not inner) or _is_marked(tag.attributes, inner > 0):
+            mark = "" if name in DROPPED else _marked(tag.attributes, inner > 0)
+            if mark in ("strong", "weak") and number in ended:
+                around = articles and number < articles[0] and articles[-1] < ended[number]
+                if around or mark == "weak" and _holds_text(page, tags, number, ended[number]):
+                    mark = ""
+            if name in DROPPED or (name == "header" and not inner) or mark:
                 close(True)
                 if number in ended or name in IMPLIED_END:
                     dropped, nested = name, 1
@@ -179,8 +213,10 @@ def main_text(page: str | None) -> str:
         of_links[:] = False
     begin, end = begin[~of_links], end[~of_links]
     weight = np.minimum(size - linked / 2, LONG)
+    paragraph = np.array([x.paragraph for x in lines])
     if inner.any():
-        weight = np.where(inner, LONG, weight * OUTER)
+        told = any(x.inner and x.paragraph and not x.heading for x in lines)
+        weight = np.where(inner, LONG, 0 if told else weight * OUTER)
     # each line has the greatest of the windows that hold it
     window = np.zeros(len(lines))
     for a, b in zip(begin, end, strict=True):
@@ -189,8 +225,11 @@ def main_text(page: str | None) -> str:
     bound = SHARE * float(np.average(window, weights=weight * (window > 0)))
     dense = np.flatnonzero([window[a:b].max() >= bound for a, b in zip(begin, end, strict=True)])
     surge, dive = dense[0], dense[-1]
-    while surge and all(x.heading for x in lines[begin[surge - 1] : end[surge - 1]]):
+    near = paragraph if not inner.any() else np.array([x.heading for x in lines]) & (weight > 0)
+    while surge and near[begin[surge - 1] : end[surge - 1]].all():
         surge -= 1
+    while dive + 1 < len(begin) and not inner.any() and near[begin[dive + 1] : end[dive + 1]].all():
+        dive += 1
     return "\n".join(x.text for a, b in zip(begin[surge : dive + 1], end[surge : dive + 1], strict=True) for x in lines[a:b])
 
 
