@@ -419,8 +419,8 @@ def block_pairs(shared: DataFrame, comps: DataFrame, sets: DataFrame, best: int,
     return rows.repartition(count, *group).sortWithinPartitions(*group).mapInArrow(run, "id long, other long").distinct()
 
 
-def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, n, class) for each row of df, and links (id, other) between classes that join every component.
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, n, class) for each row of df, links (id, other) between classes that join every component, and the components (node, component) of linked classes.
 
     A class is named by its smallest id. Links reach the similarity; of those within a component that other links
     join already, not all are there. limit sets the boundary between small and large sets.
@@ -451,13 +451,16 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     stars = shared.filter("id <> hub").select("id", F.col("hub").alias("other")).distinct()
     tried = C.materialise(prune(stars, bitmaps))
     links = links.unionByName(verify(tried, docs, repeated))
+    comps = C.materialise(connected_components(links, "id", "other"))
     for best in (BEST, 0):
-        comps = C.materialise(connected_components(links, "id", "other"))
         near = C.materialise(block_pairs(shared, comps, bitmaps, best, block).join(tried, ["id", "other"], "left_anti"))
-        if not near.isEmpty():
-            links, tried = links.unionByName(verify(near, docs, repeated)), tried.unionByName(near)
+        found = verify(near, docs, repeated) if not near.isEmpty() else near
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = C.materialise(connected_components(links, "id", "other"))
+        tried = tried.unionByName(near)
     cells.unpersist()
-    return out, links
+    return out, links, comps
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, limit: int | None = None) -> DataFrame:
@@ -467,7 +470,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Repeated rows give repeated rows; rows of one id with several texts are one document that links through each
     of them. An empty table gives an empty table. Other columns are not looked at.
     """
-    rows, links = linked(df, id_col, text_col, block, limit)
-    comps = connected_components(links, "id", "other").select(F.col("node").alias("class"), "component")
-    out = C.salted_join(rows, comps, "class", "left")
+    rows, _, comps = linked(df, id_col, text_col, block, limit)
+    out = C.salted_join(rows, comps.select(F.col("node").alias("class"), "component"), "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
