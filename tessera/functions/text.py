@@ -14,7 +14,7 @@ ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 
 def norm_phrase(c) -> Column:
     """Lower case; other characters than a-z 0-9 % + / - become blanks; blanks collapse."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9%+/\- ]", " "), r"\s+", " "))
+    return F.btrim(F.regexp_replace(F.lower(c), r"[^a-z0-9%+/\-]+", " "))
 
 
 def canonical_key(c) -> Column:
