@@ -334,12 +334,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay. An empty table gives an empty table. Any column names may stand beside.
     """
     name, gone, sha = (C.private(df, n) for n in ("drop", "drop_sha", "sha"))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null").withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    shas = docs.groupBy("id").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi"))
-    if shas.filter("lo <> hi").isEmpty():
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    texts = docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    if texts.filter("lo <> hi").isEmpty():
         drop = near_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col).cast("long").alias(name)).distinct()
         return df.join(drop, F.col(id_col) == F.col(name), "left_anti")
     # documents are numbered in the order of their ids, so that the smallest number of a group is of its smallest id
+    docs = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     once = docs.dropDuplicates(["id", "sha"]).repartitionByRange("id", "sha").sortWithinPartitions("id", "sha")
     once = C.materialise(once.withColumn("number", F.monotonically_increasing_id()))
     lost = near_groups(once, "number", "text").filter("not kept").select("number").join(once, "number")
