@@ -7,7 +7,8 @@
 2. Small sets enumerate all subsets of SUBSET shingles of that prefix: two that link share one. Large sets, and
    the small ones that are large enough to link with them, are in inverted lists of the prefix for a single common
    shingle. The boundary is the size at which subsets and lists cost least, told from the sizes of all sets and
-   the lists of every SHARE-th shingle.
+   the lists of every SHARE-th shingle. What stands after the first common shingles bounds the overlap, so members
+   that by their sizes and places can link with no other member are left out, and gaps of sizes part a list.
 3. Members of a subset or list are compared with its smallest id first, then with the most alike members
    of other components, then with all that are left; links are contracted to components in between, so
    groups that are one component are not looked at again. A bitmap of each set bounds the overlap of a pair
@@ -42,6 +43,8 @@ BITS = 1024
 SHARE = 64
 #: Expected members of a group from which on it is dealt over salts.
 SALT_ROWS = 1 << 14
+#: Members of a group up to which each is held against all others by sizes and places; larger groups are parted by sizes only.
+NEAR = 32
 #: Partners of a member that are confirmed before the rest, and members of a block.
 BEST, BLOCK = 3, 2048
 #: Pairs that a task looks at together.
@@ -182,7 +185,10 @@ def boundary(sets: DataFrame) -> int:
 
 
 def keys(sets: DataFrame, limit: int, cells) -> DataFrame:
-    """(key, salt, big, id): subsets of small sets and lists of large ones and their small neighbours; list keys are odd."""
+    """(key, id, n, most, salt): subsets of small sets and lists of large ones and their small neighbours; list keys are odd.
+
+    A set of n whose first common shingles with another are those of the key has at most so many in common with it.
+    """
     spread = max(SALT_ROWS, 8 * int(cells.value.mean()))
 
     def run(batch):
@@ -198,19 +204,23 @@ def keys(sets: DataFrame, limit: int, cells) -> DataFrame:
                 grid = np.stack([prefix[k] for k in own])
                 key = C.mix(C.mix(grid[:, i]) + grid[:, j]) & ~np.uint64(1)
                 count = cells.value[(grid >> _CELL_SHIFT).astype(np.int64)]
-                found.append((C.signed(key.ravel()), np.minimum(count[:, i], count[:, j]).ravel(), np.zeros(key.size, bool), np.repeat(ids[own], len(i))))
+                most = n[own][:, None] - j + 1
+                found.append((C.signed(key.ravel()), np.minimum(count[:, i], count[:, j]).ravel(), np.repeat(ids[own], len(i)), np.repeat(n[own], len(i)), most.ravel()))
             listed = np.flatnonzero(DEN * n >= NUM * (limit + 1))
             if len(listed):
                 own = [prefix[k][: n[k] - least(n[k]) + 1] for k in listed]
                 times, whole = np.array([len(o) for o in own]), np.concatenate(own)
-                found.append((_list_keys(whole), cells.value[(whole >> _CELL_SHIFT).astype(np.int64)], np.repeat(n[listed] > limit, times), np.repeat(ids[listed], times)))
+                most = np.repeat(n[listed] + np.cumsum(times) - times, times) - np.arange(len(whole))
+                found.append((_list_keys(whole), cells.value[(whole >> _CELL_SHIFT).astype(np.int64)], np.repeat(ids[listed], times), np.repeat(n[listed], times), most))
             if found:
-                key, count, big, own = (np.concatenate(x) for x in zip(*found, strict=True))
+                key, count, own, size, most = (np.concatenate(x) for x in zip(*found, strict=True))
                 salts = np.where(count > spread, count // spread + 1, 0)
                 salt = np.where(salts > 0, 1 + (C.mix(own.view(np.uint64)) % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt.astype(np.int32)), pa.array(big), pa.array(own)], names=["key", "salt", "big", "id"])
+                columns = [pa.array(key), pa.array(own), pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(salt.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "most", "salt"])
 
-    return C.map_batches(sets.select("id", "n", "prefix"), run, "key long, salt int, big boolean, id long")
+    # zeros last: they and the next row's head are one run, which the shuffle's compression shortens
+    return C.map_batches(sets.select("id", "n", "prefix"), run, "key long, id long, n int, most int, salt int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
@@ -242,21 +252,44 @@ def _starts(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def members(rows: DataFrame) -> DataFrame:
-    """(key, id, hub): the members of every key that two ids share, with the smallest of them; lists without a large set are left out."""
+def _partnered(group: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether another row of a row's group can have enough in common with it; group rises, and those over NEAR rows aren't looked at."""
+    out = np.bincount(group)[group] > NEAR
+    for d in range(1, NEAR):
+        a = np.flatnonzero(group[d:] == group[:-d])
+        if not len(a):
+            break
+        a = a[(NUM + DEN) * np.minimum(most[a], most[a + d]) >= NUM * (n[a] + n[a + d])]
+        out[a] = out[a + d] = True
+    return out
+
+
+def members(rows: DataFrame, limit: int) -> DataFrame:
+    """(key, id, hub): the members of every key that two ids share and can link by, with the smallest of them; lists without a large set are left out.
+
+    A key's sizes may have gaps over which no sets link; the members between two gaps have a key of their own, unless the key is salted.
+    """
 
     def run(batches):
         for table in _runs(batches, ["key", "salt"]):
-            at = _starts(table, ["key", "salt"])
-            size = np.diff(np.append(at, len(table)))
-            ids, big, salt = (table.column(c).to_numpy() for c in ("id", "big", "salt"))
-            hub, any_big = np.minimum.reduceat(ids, at), np.logical_or.reduceat(big, at)
-            odd = (table.column("key").to_numpy()[at] & 1) == 1
-            keep = np.repeat((salt[at] > 0) | ((size > 1) & (any_big | ~odd)), size)
-            out = table.select(["key", "salt", "id"]).append_column("hub", pa.array(np.repeat(hub, size))).append_column("big", pa.array(np.repeat(any_big, size)))
-            yield from out.filter(pa.array(keep)).combine_chunks().to_batches()
-
-    grouped = rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "key long, salt int, id long, hub long, big boolean")
+            key, salt, ids, n, most = (table.column(c).to_numpy() for c in ("key", "salt", "id", "n", "most"))
+            n, most, new = n.astype(np.int64), most.astype(np.int64), np.zeros(len(n), bool)
+            new[_starts(table, ["key", "salt"])] = True
+            new[1:] |= (salt[1:] == 0) & (DEN * n[:-1] < NUM * n[1:])
+            at = np.flatnonzero(new)
+            size, any_big = np.diff(np.append(at, len(n))), np.logical_or.reduceat(n > limit, at)
+            live = np.flatnonzero(np.repeat((salt[at] > 0) | ((size > 1) & (any_big | ((key[at] & 1) == 0))), size))
+            group = np.cumsum(new)[live] - 1
+            fit = (salt[live] > 0) | _partnered(group, n[live], most[live])
+            live, group = live[fit], group[fit]
+            if len(live):
+                first = np.flatnonzero(np.diff(group, prepend=-1))
+                hub = np.repeat(np.minimum.reduceat(ids[live], first), np.diff(np.append(first, len(live))))
+                own = np.where(salt[live] > 0, key[live], C.signed(C.mix(key[live].view(np.uint64) + n[at][group].astype(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(salt[live]), pa.array(ids[live]), pa.array(hub), pa.array(any_big[group])], names=["key", "salt", "id", "hub", "big"])
+
+    # by size within a key
+    grouped = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n").mapInArrow(run, "key long, salt int, id long, hub long, big boolean")
     grouped = C.materialise(grouped)
     salted = grouped.filter("salt > 0").select("key", "id", "hub", "big")
     whole = C.materialise(salted.groupBy("key").agg(F.min("hub").alias("first"), F.max("big").alias("large"), F.count(F.lit(1)).alias("n")))
@@ -436,7 +469,7 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     repeated = not some.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty()
     sets = sets.dropDuplicates(["digest", "id"]) if repeated else sets
     limit = boundary(some) if limit is None else limit
-    shared = members(keys(sets, limit, cells))
+    shared = members(keys(sets, limit, cells), limit)
     listed = shared.select("id").distinct()
     bitmaps = C.materialise(sets.select("id", "n", "bits").join(listed.hint("shuffle_hash"), "id", "left_semi"))
 

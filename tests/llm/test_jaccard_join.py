@@ -119,3 +119,41 @@ def test_prefixes_share_subsets():
             x, y = sorted(order[:n]), sorted(order[n - common :])
             p, q = (x[: len(x) - int(jaccard.least(np.int64(len(x)))) + jaccard.SUBSET], y[: len(y) - int(jaccard.least(np.int64(len(y)))) + jaccard.SUBSET])
             assert len(set(p) & set(q)) >= jaccard.SUBSET
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_members_that_cannot_link_are_left_out(spark, monkeypatch, limit):
+    """A text made of others shares rare shingles with each, but is too long to link with them: none is carried on with its bitmap."""
+    kept, members = [], jaccard.members
+    monkeypatch.setattr(jaccard, "members", lambda *given: kept.append(members(*given)) or kept[-1])
+    rng = random.Random(5)
+    parts = [[f"p{i}_{j}" for j in range(40)] for i in range(5)]
+    near = [f"n{j}" for j in range(100)]
+    rows = [(i, " ".join(p)) for i, p in enumerate(parts)] + [(50, " ".join(sum(parts, [])))] + [(100 + i, " ".join(changed(rng, near, 1))) for i in range(3)]
+    want = brute(rows)
+    assert sorted(w[2] for w in want) == [0, 1, 2, 3, 4, 50, 100, 100, 100]
+    assert found(jaccard.jaccard_components(docs(spark, rows), limit=limit)) == want
+    assert {r.id for r in kept[0].select("id").collect()} == {100, 101, 102}
+
+
+@pytest.mark.parametrize("near", [1, 32])
+def test_linked_pairs_keep_a_key_in_common(near, monkeypatch):
+    """Whatever the order, the key of the first common shingles leaves a linked pair in; a group over NEAR is left whole."""
+    monkeypatch.setattr(jaccard, "NEAR", near)
+    rng, linked = random.Random(7), 0
+    for _ in range(3000):
+        n, m = rng.randrange(2, 60), rng.randrange(2, 60)
+        common = rng.randrange(0, min(n, m) + 1)
+        order = list(range(n + m - common))
+        rng.shuffle(order)
+        x, y = sorted(order[:n]), sorted(order[n - common :])
+        if 100 * common >= 80 * (n + m - common) and common >= 2:
+            first, second = sorted(set(x) & set(y))[:2]
+            lists = np.array([n - x.index(first), m - y.index(first)])
+            subsets = np.array([n - x.index(second) + 1, m - y.index(second) + 1])
+            for most in (lists, subsets):
+                linked += 1
+                assert jaccard._partnered(np.zeros(2, np.int64), np.array([n, m]), most).all()
+    assert linked > 100
+    sizes = np.array([10, 100, 10, 10])
+    assert jaccard._partnered(np.array([0, 0, 1, 1]), sizes, sizes).tolist() == [near == 1, near == 1, True, True]
