@@ -102,8 +102,18 @@ def _folded(bitmaps: list[bytes], words: int) -> np.ndarray:
     return out
 
 
+def rounded(counts: np.ndarray) -> np.ndarray:
+    """Counts in two bytes each, the upper half of a float: the order stays, and up to 256 they are exact."""
+    return (counts.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16)
+
+
+def counted(codes: np.ndarray) -> np.ndarray:
+    """The counts that rounded() has made."""
+    return (codes.astype(np.uint32) << np.uint32(16)).view(np.float32).astype(np.int64)
+
+
 def frequencies(docs: DataFrame) -> np.ndarray:
-    """How many documents' sets have a shingle of each cell, over all rows of docs (with text)."""
+    """How many documents' sets have a shingle of each cell, rounded, over all rows of docs (with text)."""
     width = CELLS // SLICES
 
     def count(batches):
@@ -120,11 +130,11 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for s, part in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist(), strict=True):
                 held[s] = held.get(s, 0) + np.frombuffer(zlib.decompress(part), np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(rounded(x).tobytes(), 1) for x in held.values()], pa.binary())], names=["slice", "cells"])
 
-    kind, out = "slice int, cells binary", np.zeros((SLICES, width), np.int64)
+    kind, out = "slice int, cells binary", np.zeros((SLICES, width), np.uint16)
     for r in docs.select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect():
-        out[r.slice] = np.frombuffer(r.cells, np.int64)
+        out[r.slice] = np.frombuffer(zlib.decompress(r.cells), np.uint16)
     return out.ravel()
 
 
@@ -172,9 +182,11 @@ def boundary(sets: DataFrame) -> int:
         share = (keys >> 1) % SHARE == 0
         yield pa.RecordBatch.from_arrays([pa.array(keys[share]), pa.array(n[row[share]]), batch.column("digest").take(pa.array(row[share]))], names=["key", "n", "digest"])
 
-    some = C.materialise(C.map_batches(sets.select("n", "prefix", "digest"), run, "key long, n long, digest binary").distinct().drop("digest"))
-    counts = some.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
-    scans = C.salted_join(some, counts, "key").groupBy(kinds.alias("size")).agg(F.sum((F.col("length") + 1) * SHARE).alias("scans"))
+    some = C.map_batches(sets.select("n", "prefix", "digest"), run, "key long, n long, digest binary").distinct()
+    # a list has one row for each kind of size, so its length is known without a join
+    parts = some.groupBy("key", kinds.alias("size")).agg(F.count(F.lit(1)).alias("entries"))
+    lists = parts.groupBy("key").agg(F.sum("entries").alias("length"), F.collect_list(F.struct("size", "entries")).alias("parts"))
+    scans = lists.select("length", F.inline("parts")).groupBy("size").agg(F.sum(F.col("entries") * (F.col("length") + 1) * SHARE).alias("scans"))
     rows = subsets.join(scans, "size", "left").orderBy("size").collect()
     spared, most_spared, limit = 0.0, 0.0, 0
     for r in rows:
@@ -189,7 +201,7 @@ def keys(sets: DataFrame, limit: int, cells) -> DataFrame:
 
     A set of n whose first common shingles with another are those of the key has at most so many in common with it.
     """
-    spread = max(SALT_ROWS, 8 * int(cells.value.mean()))
+    spread = max(SALT_ROWS, 8 * (sum(int(counted(x).sum()) for x in np.array_split(cells.value, SLICES)) // len(cells.value)))
 
     def run(batch):
         for at in range(0, len(batch), 1024):
@@ -214,6 +226,7 @@ def keys(sets: DataFrame, limit: int, cells) -> DataFrame:
                 found.append((_list_keys(whole), cells.value[(whole >> _CELL_SHIFT).astype(np.int64)], np.repeat(ids[listed], times), np.repeat(n[listed], times), most))
             if found:
                 key, count, own, size, most = (np.concatenate(x) for x in zip(*found, strict=True))
+                count = counted(count)
                 salts = np.where(count > spread, count // spread + 1, 0)
                 salt = np.where(salts > 0, 1 + (C.mix(own.view(np.uint64)) % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64), 0)
                 columns = [pa.array(key), pa.array(own), pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(salt.astype(np.int32))]
@@ -292,6 +305,8 @@ def members(rows: DataFrame, limit: int) -> DataFrame:
     grouped = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n").mapInArrow(run, "key long, salt int, id long, hub long, big boolean")
     grouped = C.materialise(grouped)
     salted = grouped.filter("salt > 0").select("key", "id", "hub", "big")
+    if salted.isEmpty():
+        return grouped.select("key", "id", "hub")
     whole = C.materialise(salted.groupBy("key").agg(F.min("hub").alias("first"), F.max("big").alias("large"), F.count(F.lit(1)).alias("n")))
     shared = whole.filter("n > 1 and (large or key % 2 = 0)")
     hot = C.salted_join(salted.drop("hub", "big"), shared.select("key", F.col("first").alias("hub")), "key", counts=whole.select("key", "n"))
@@ -337,7 +352,8 @@ def prune(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (id, other) whose bitmaps leave the similarity possible."""
     x = sets.select("id", F.col("n").alias("n"), F.col("bits").alias("s"))
     y = sets.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("bits").alias("t"))
-    both = C.salted_join(pairs, y, "other").join(x, "id").filter(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
+    counts = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
+    both = C.salted_join(pairs, y, "other", counts=counts).join(x, "id").filter(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
 
     def run(batch):
         every = np.arange(len(batch))
@@ -435,10 +451,11 @@ def block_pairs(shared: DataFrame, comps: DataFrame, sets: DataFrame, best: int,
         chosen = ends.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         rows = C.salted_join(rows, chosen, "key", counts=sizes.select("key", "n")).join(ends, "id", "left").withColumn("rest", F.expr("rest and (key = a or key = b)"))
     hashed = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    others = rows.select("key", all_of("rests").alias("i"), hashed("blocks", 1).alias("j"), "id", "comp", F.lit(False).alias("own"))
-    own = rows.filter("rest").select("key", hashed("rests", 2).alias("i"), all_of("blocks").alias("j"), "id", "comp", F.lit(True).alias("own"))
-    rows, group = others.unionByName(own).join(sets, "id"), ["key", "i", "j"]
+    # each row is dealt to all blocks of the rest, and as one of the rest to all blocks of all; as one table, so that rows are made once
+    times = F.col("rests") + F.when(F.col("rest"), F.col("blocks")).otherwise(0)
+    rows, own = rows.withColumn("at", F.explode(F.sequence(F.lit(0), times - 1))), F.col("at") >= F.col("rests")
+    i, j = F.when(own, hashed("rests", 2)).otherwise(F.col("at")), F.when(own, F.col("at") - F.col("rests")).otherwise(hashed("blocks", 1))
+    rows, group = rows.select("key", i.alias("i"), j.alias("j"), "id", "comp", own.alias("own")).join(sets, "id"), ["key", "i", "j"]
 
     def run(batches):
         for table in _runs(batches, group):
@@ -476,14 +493,14 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     named = classes.filter("copies > 1").select("digest", "class")
     out = C.salted_join(rows.select("id", "n", "digest"), named, "digest", "left", classes.select("digest", F.col("copies").alias("n")))
     out = C.materialise(out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class")))
-    # an id is one document, so its texts' classes are linked
-    same = out.filter("id is not null and n > 0")
-    low = same.groupBy("id").agg(F.min("class").alias("other"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).filter("other <> high")
-    links = C.materialise(C.salted_join(same.select("id", "class"), low.select("id", "other"), "id").filter("class <> other").select(F.col("class").alias("id"), "other").distinct())
-
-    stars = shared.filter("id <> hub").select("id", F.col("hub").alias("other")).distinct()
+    stars = C.materialise(shared.filter("id <> hub").select("id", F.col("hub").alias("other")).distinct())
     tried = C.materialise(prune(stars, bitmaps))
-    links = links.unionByName(verify(tried, docs, repeated))
+    links = verify(tried, docs, repeated)
+    if repeated:
+        # an id is one document, so its texts' classes are linked
+        same = out.filter("id is not null and n > 0")
+        low = same.groupBy("id").agg(F.min("class").alias("other"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).filter("other <> high")
+        links = links.unionByName(C.materialise(C.salted_join(same.select("id", "class"), low.select("id", "other"), "id").filter("class <> other").select(F.col("class").alias("id"), "other").distinct()))
     comps = C.materialise(connected_components(links, "id", "other"))
     for best in (BEST, 0):
         near = C.materialise(block_pairs(shared, comps, bitmaps, best, block).join(tried, ["id", "other"], "left_anti"))

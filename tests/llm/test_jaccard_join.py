@@ -1,6 +1,8 @@
 """Jaccard join against brute force over all pairs."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,3 +159,37 @@ def test_linked_pairs_keep_a_key_in_common(near, monkeypatch):
     assert linked > 100
     sizes = np.array([10, 100, 10, 10])
     assert jaccard._partnered(np.array([0, 0, 1, 1]), sizes, sizes).tolist() == [near == 1, near == 1, True, True]
+
+
+def test_frequencies_are_small_for_the_driver(spark):
+    """The counts of all cells come to the driver and go to all workers: two bytes each, in the order of the counts, small counts as they are."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7 + 5))) for i in range(300)] + [(999, None)]
+    want = np.zeros(jaccard.CELLS, np.int64)
+    buf, offs = jaccard.C.text_bytes(jaccard.pa.array([t for _, t in rows]))
+    np.add.at(want, (jaccard._sets(buf, offs)[1] >> jaccard._CELL_SHIFT).astype(np.int64), 1)
+    cells = jaccard.frequencies(docs(spark, rows))
+    assert cells.nbytes == 2 * jaccard.CELLS
+    found, small = jaccard.counted(cells), want <= 256
+    assert (found[small] == want[small]).all() and (abs(found - want) * 128 <= want).all() and want.max() == 300
+    counts = np.unique(np.concatenate([np.arange(5000), np.random.default_rng(1).integers(0, 2**50, 5000)]))
+    codes = jaccard.rounded(counts).astype(np.int64)
+    assert (np.diff(codes) >= 0).all() and (np.diff(codes)[:256] > 0).all()
+
+
+def test_boundary_weighs_whole_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHARE", 1)
+    rng = random.Random(4)
+    texts = [" ".join(f"c{rng.randrange(12)}" for _ in range(rng.choice([5, 6, 7, 9, 12, 40, 90]))) for _ in range(300)]
+    df = docs(spark, list(enumerate(texts + texts[:50]))).withColumnRenamed("doc_id", "id")
+    cells = spark.sparkContext.broadcast(jaccard.frequencies(df))
+    sets = jaccard.C.materialise(jaccard.describe(df, cells))
+    kept = {(r.n, bytes(r.digest)): np.frombuffer(r.prefix, np.uint64) for r in sets.collect()}
+    lists = [(n, int(k)) for (n, _), p in kept.items() for k in jaccard._list_keys(p[: n - int(jaccard.least(np.int64(n))) + 1])]
+    lengths, want, spared, most = Counter(k for _, k in lists), 0, 0, 0
+    for kind in sorted({math.floor(4 * math.log2(n)) for n, _ in kept}):
+        own = [n for n, _ in kept if math.floor(4 * math.log2(n)) == kind]
+        spared += sum(lengths[k] + 1 for n, k in lists if n in own) - sum(math.comb(min(n, n - int(jaccard.least(np.int64(n))) + jaccard.SUBSET), 2) for n in own)
+        if spared > most:
+            most, want = spared, max(own)
+    assert 0 < want < max(n for n, _ in kept)
+    assert jaccard.boundary(sets) == want
