@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 # Sizes of chunks and blocks in characters.
 TARGET, MIN_TAIL, BLOCK = 2400, 400, 1200
+#: The blanks that are trimmed off a paragraph: all of Unicode's space separators.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def segment_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,7 +42,8 @@ def segment_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def chunks(text, target: int = TARGET, min_tail: int = MIN_TAIL):
     """Column: paragraphs packed greedily to target characters; a short tail joins the chunk before it."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.btrim), lambda p: p != "")
+    # a lambda of one argument: transform would pass btrim a paragraph's place as the characters to trim
+    paragraphs = F.filter(F.transform(F.split(text, r"\n[\t\n\f\r ]*\n"), lambda p: F.btrim(p, F.lit(BLANKS))), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("size"))
 
     def step(a, p):

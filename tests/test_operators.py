@@ -54,6 +54,21 @@ def test_sections_and_chunks(spark):
     assert [len(r.chunk) for r in got] == [2002, 1000, 3102]
 
 
+def test_paragraphs_lose_blanks_and_no_digits(spark, tmp_path):
+    texts = ["0997 a\n1219 b\n2 c2", "  x \n\t\u00a0y\u3000\u2003\n z", "a\n\x0b\nb\n\f\n\x85\n", "1\n1\n11", " \n \u00a0", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("ing03_chunks",):
+        want = con.execute(entry.oracle_sql()[name])
+        columns = [c[0] for c in want.description]
+        df = entry.queries()[name](spark, str(tmp_path))
+        assert rows_of(df.columns, df.collect()) == rows_of(columns, want.fetchall())
+    got = ingest.chunk_sections(docs.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("body"))).collect()
+    assert {r.doc_id: r.chunk for r in got} == {0: "0997 a\n\n1219 b\n\n2 c2", 1: "x\n\n\t\u00a0y\n\nz", 2: "a\n\n\x0b\n\nb\n\n\x85", 3: "1\n\n1\n\n11"}
+
+
 def test_captions(spark):
     rows = [(1, 0, "so we start here", 0.0, 2.0), (1, 1, "Start here, and go", 1.0, 3.0), (1, 2, "and go", 5.0, 6.0)]
     got = ingest.dedupe_segments(spark.createDataFrame(rows, "id int, pos int, text string, start double, end double"), "id", "pos").orderBy("pos").collect()
