@@ -60,7 +60,7 @@ def test_paragraphs_lose_blanks_and_no_digits(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("ing03_chunks",):
+    for name in ("ing03_chunks", "str01_inbox_store"):
         want = con.execute(entry.oracle_sql()[name])
         columns = [c[0] for c in want.description]
         df = entry.queries()[name](spark, str(tmp_path))
