@@ -142,8 +142,8 @@ def cohort_candidates(rows: DataFrame) -> DataFrame:
 
 
 def observations(outcomes: DataFrame) -> DataFrame:
-    """One row for a strategy's client: the latest by (recorded, started, id)."""
-    return latest(outcomes, ["strategy", "client_id"], ["recorded_at", "intervention_id"], ["outcome", "adherence"])
+    """One row for a strategy's client: the latest by (recorded, id); of rows equal in both the one of the largest outcome and adherence, in whatever order they are read."""
+    return latest(outcomes, ["strategy", "client_id"], ["recorded_at", "intervention_id", "outcome", "adherence"], ["outcome", "adherence"])
 
 
 def cohort_summary(obs: DataFrame) -> DataFrame:

@@ -190,6 +190,15 @@ def test_safety_rules(spark):
     assert cases.scoped(meds, None).count() == 0 and cases.scoped(meds, 1).count() == 1
 
 
+TIED = [(1, 7, "2024-01-02", 5, "A", 60.0), (1, 7, "2024-01-02", 5, "N", 30.0), (1, 7, "2024-01-02", 5, "N", None), (1, 7, "2024-01-02", 4, "R", 99.0), (1, 7, "2024-01-01", 9, "R", 99.0), (1, 8, "2024-01-01", 1, None, None)]
+
+
+def test_tied_observations_do_not_depend_on_the_order_of_rows(spark):
+    for rows in (TIED, TIED[::-1], TIED[1:] + TIED[:1]):
+        df = spark.createDataFrame(rows, "strategy int, client_id int, recorded_at string, intervention_id int, outcome string, adherence double").coalesce(1)
+        assert sorted(map(tuple, cases.observations(df).collect())) == [(1, 7, "N", 30.0), (1, 8, None, None)]
+
+
 def test_library(spark):
     raw = spark.createDataFrame([("e", '[{"text":" a ","claim_type":"ODD","confidence":2},{"text":""}]'), ("f", "not json")], "envelope_id string, cards string")
     assert [(r.text, r.claim_type, r.confidence) for r in library.land_claims(raw).collect()] == [("a", "OTHER", None)]
