@@ -199,6 +199,14 @@ def test_tied_observations_do_not_depend_on_the_order_of_rows(spark):
         assert sorted(map(tuple, cases.observations(df).collect())) == [(1, 7, "N", 30.0), (1, 8, None, None)]
 
 
+def test_summary_of_tied_observations_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(s, c, *row) for _, c, *row in TIED for s, c in [(1, c * 10 + k) for k in range(5)]]
+    for ordered in (rows, rows[::-1]):
+        df = spark.createDataFrame(ordered, "strategy int, client_id int, recorded_at string, intervention_id int, outcome string, adherence double").coalesce(1)
+        got = cases.cohort_summary(cases.observations(df)).collect()
+        assert [(r.outcome_counts, r.band_counts, r.people) for r in got] == [("N 5", "LOW 5, UNKNOWN 5", 10)]
+
+
 def test_library(spark):
     raw = spark.createDataFrame([("e", '[{"text":" a ","claim_type":"ODD","confidence":2},{"text":""}]'), ("f", "not json")], "envelope_id string, cards string")
     assert [(r.text, r.claim_type, r.confidence) for r in library.land_claims(raw).collect()] == [("a", "OTHER", None)]
