@@ -16,6 +16,8 @@ TRIGRAM_FLOOR, TRIGRAM_ACCEPT, TIE_BAND, TRIGRAM_TOP = 0.72, 0.92, 0.01, 5
 SEMANTIC_FLOOR, SEMANTIC_ACCEPT, SEMANTIC_TOP = 0.78, 0.82, 3
 CONFUSABLE_LOW, CONFUSABLE_HIGH = 0.45, 0.85
 WEEKLY_CAP = 15
+#: Keys of a block: the pairs of two names are dealt out as pairs of such blocks.
+BLOCK_KEYS = 256
 LIVE = ("SEEDED", "ACTIVE")
 
 
@@ -59,12 +61,28 @@ def gram_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, floor: float,
     """
     block = block or []
     names = _name_pairs(a, b, floor, block, ordered).filter(F.col("sim") <= ceiling)
+    if ordered:
+        return _key_pairs(names, a.select(*block, "name", F.col(a_key).alias("key")), a_key, b_key, block)
     left, right = a.select(a_key, *block, F.col("name").alias("name_a")), b.select(b_key, *block, F.col("name").alias("name_b"))
+    return names.join(left, [*block, "name_a"]).join(right, [*block, "name_b"]).select(a_key, b_key, *block, "sim")
+
+
+def _key_pairs(names: DataFrame, keys: DataFrame, a_key: str, b_key: str, block: list[str]) -> DataFrame:
+    """(a_key, b_key, sim), a_key < b_key: the keys of each pair of names.
+
+    The keys of a name are put in blocks of about BLOCK_KEYS, and pairs of blocks are dealt over all partitions before
+    they become pairs of keys; joins of single keys would leave all pairs of a name, or of a few names, to one task.
+    """
+    many = keys.groupBy(*block, "name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_KEYS)
+    many = many.select(*block, "name", F.ceil(F.col("n") / BLOCK_KEYS).alias("blocks"))
+    dealt = keys.join(many, [*block, "name"], "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1).cast("long"))))
+    blocks = dealt.groupBy(*block, "name", "part").agg(F.collect_list("key").alias("keys"))
+    left, right = (blocks.select(*block, F.col("name").alias(f"name_{side}"), F.col("keys").alias(f"keys_{side}")) for side in "ab")
     pairs = names.join(left, [*block, "name_a"]).join(right, [*block, "name_b"])
-    if ordered:
-        pairs = pairs.filter((F.col(a_key) < F.col(b_key)) | (F.col("name_a") != F.col("name_b")))
-        return pairs.select(F.least(a_key, b_key).alias(a_key), F.greatest(a_key, b_key).alias(b_key), *block, "sim")
-    return pairs.select(a_key, b_key, *block, "sim")
+    pairs = pairs.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.withColumn("key_a", F.explode("keys_a")).withColumn("key_b", F.explode("keys_b"))
+    pairs = pairs.filter((F.col("key_a") < F.col("key_b")) | (F.col("name_a") != F.col("name_b")))
+    return pairs.select(F.least("key_a", "key_b").alias(a_key), F.greatest("key_a", "key_b").alias(b_key), *block, "sim")
 
 
 def _tier(df: DataFrame, n: int, accept: float) -> DataFrame:

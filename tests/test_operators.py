@@ -44,6 +44,26 @@ def test_trigram_similarity_is_symmetric(spark):
     assert got[0].x == pytest.approx(4 / 11) and got[1].x == 0 and got[2].x == 1
 
 
+def test_pairs_of_names_with_many_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK_KEYS", 3)
+    names = ["red bolt", "red bold", "red bolt", "new gear", None, ""]
+    rows = [(k, names[k % 6], "d" if k % 5 else "e") for k in range(120)] + [(200, "red bolt", None), (201, "red bold", None)]
+    concepts = spark.createDataFrame(rows, "concept_id long, name string, domain string")
+    grams = lambda n: {("  " + w + " ")[i : i + 3] for w in n.split() for i in range(len(w) + 1)}
+    want = []
+    for i, a, d in rows:
+        for j, b, e in rows:
+            if i < j and d == e and d and a and b:
+                sim = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+                want += [(i, j, d, sim)] if resolve.CONFUSABLE_LOW <= sim <= resolve.CONFUSABLE_HIGH else []
+    pairs = resolve.generate_confusable(concepts)
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b, r.domain, r.sim) for r in got) == sorted(want) and len(want) > 300
+    assert len({r.task for r in got}) > 1
+    same = resolve.gram_pairs(concepts.withColumnRenamed("concept_id", "a"), concepts.withColumnRenamed("concept_id", "b"), "a", "b", 1.0, ["domain"], ordered=True)
+    assert same.count() == sum(a == b and d == e and i < j and bool(a and d) for i, a, d in rows for j, b, e in rows)
+
+
 def test_sections_and_chunks(spark):
     text = "intro\n# A\none\n## B\ntwo\n# C\n\n### D\nthree"
     rows = ingest.segment_sections(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), "id", "text").orderBy("id", "sec_no").collect()
