@@ -36,19 +36,27 @@ def query_stems(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def stem_postings(docs: DataFrame, kind: str, id_col: str, text_col: str, bucket_col: str, searched: DataFrame | None = None) -> DataFrame:
     """The inverted index by English stems: (stem, kind, id, bucket, tf). searched (stem): only of these, of a stated set of queries.
 
-    Each distinct word is stemmed once; words meet their stems after they are counted by document.
+    Each distinct word is stemmed once. With searched, texts are dealt by their id once and the words that have its
+    stems are sent to them, so that what is counted by id, here and by by_stems(), is counted where it is; the whole
+    index is made of words that are counted by document before they meet their stems.
     """
-    words = docs.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("id"), F.col(bucket_col).cast("string").alias("bucket"), F.explode(lexemes(F.col(text_col), ENGLISH)).alias("lexeme"))
-    counted = words.groupBy("lexeme", "kind", "id", "bucket").agg(F.count(F.lit(1)).alias("tf"))
-    known = stems(words)
-    if searched is not None:
-        known = known.join(searched.select("stem").distinct(), "stem", "left_semi")
-    return counted.join(known, "lexeme").groupBy("stem", "kind", "id", "bucket").agg(F.sum("tf").alias("tf"))
+    named = docs.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("id"), F.col(bucket_col).cast("string").alias("bucket"), F.col(text_col).alias("text"))
+    lexeme = F.explode(lexemes(F.col("text"), ENGLISH)).alias("lexeme")
+    known = stems(named.select(lexeme))
+    if searched is None:
+        counted = named.select("kind", "id", "bucket", lexeme).groupBy("lexeme", "kind", "id", "bucket").agg(F.count(F.lit(1)).alias("tf"))
+        return counted.join(known, "lexeme").groupBy("stem", "kind", "id", "bucket").agg(F.sum("tf").alias("tf"))
+    wanted = searched.select("stem").distinct()
+    known = known.join(wanted, "stem", "left_semi")
+    known = F.broadcast(known) if wanted.count() <= SENT_WORDS else known
+    words = named.filter("text is not null").repartition("id").select("kind", "id", "bucket", lexeme)
+    return words.join(known, "lexeme").groupBy("stem", "kind", "id", "bucket").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def by_stems(queries: DataFrame, index: DataFrame) -> DataFrame:
     """queries (query_id, stem), index of stem_postings(): OR of the stems; the rank is the number of matching occurrences."""
-    hits = index.join(queries, "stem").groupBy("query_id", "kind", "id", "bucket").agg(F.sum("tf").cast("double").alias("raw"))
+    sent = F.broadcast(queries) if queries.count() <= SENT_WORDS else queries
+    hits = index.join(sent, "stem").groupBy("query_id", "kind", "id", "bucket").agg(F.sum("tf").cast("double").alias("raw"))
     return hits.withColumn("channel", F.lit("fts")).select(*HITS)
 
 

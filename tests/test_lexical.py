@@ -1,6 +1,7 @@
 """Phrases in texts, English stems and nearest vectors."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -68,6 +69,20 @@ def test_stemmed_channel(spark):
     assert {r.phrase: r.reason for r in shaped} == {"before you": "stop words only", "knees": None}
 
 
+def test_stemmed_channel_deals_texts_by_id_and_no_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "goods consigned and consigning", "a"), (1, "consign goods", "a"), (1, "consigns", "b"), (2, "knife", "a"), (3, None, None)], "id int, text string, bucket string")
+    words = retrieval.query_stems(spark.createDataFrame([("q", "consignment of goods"), ("r", "good")], "query_id string, text string"), "query_id", "text")
+    whole = retrieval.by_stems(words, retrieval.stem_postings(docs, "D", "id", "text", "bucket"))
+    for sent in (retrieval.SENT_WORDS, 0):
+        monkeypatch.setattr(retrieval, "SENT_WORDS", sent)
+        hits = retrieval.by_stems(words, retrieval.stem_postings(docs, "D", "id", "text", "bucket", words))
+        got = sorted((r.query_id, r.id, r.bucket, r.raw) for r in hits.collect())
+        assert got == [("q", "1", "a", 5.0), ("q", "1", "b", 1.0), ("r", "1", "a", 2.0)] == sorted((r.query_id, r.id, r.bucket, r.raw) for r in whole.collect())
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        if sent:
+            assert not re.search(r"hashpartitioning\([^)]*(lexeme|stem|query_id)[^)]*\bid#", plan) and re.search(r"hashpartitioning\(id#\d+, ", plan)
+
+
 @pytest.mark.parametrize(("n", "m"), [(6, 90), (90, 6), (0, 5), (5, 0)])
 @pytest.mark.parametrize("sent", [1 << 20, 160])
 def test_nearest_equals_brute_force(spark, n, m, sent):
