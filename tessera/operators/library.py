@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm_phrase
+from tessera.operators.packed import most_shared
 
 # Kinds of claims, dimensions and bars of readiness, failures in a row that pause a key.
 CLAIM_TYPES = ("SAFETY", "INTERVENTION_EFFECT", "MECHANISM", "DIAGNOSTIC", "OTHER")
@@ -91,10 +92,8 @@ def fold_progress(events: DataFrame, key: str, ok: str, order: list[str]) -> Dat
 
 
 def candidate_strategies(links: DataFrame, claim_concepts: DataFrame, limit: int = 8) -> DataFrame:
-    """(claim_id, strategy_id, shared): strategies by shared distinct concepts."""
-    n = claim_concepts.join(links, "concept_id").groupBy("claim_id", "strategy_id").agg(F.count_distinct("concept_id").alias("shared"))
-    w = W.partitionBy("claim_id").orderBy(F.desc("shared"), "strategy_id")
-    return n.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit).drop("rn")
+    """(claim_id, strategy_id, shared): of each claim the strategies with the most distinct concepts in common; of equal ones the smallest, null last."""
+    return most_shared(claim_concepts, links, "concept_id", "claim_id", "strategy_id", "shared", limit)
 
 
 def heading_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -484,8 +484,8 @@ CANDIDATES = "WITH n AS (SELECT o_custkey AS claim_id, s.l_suppkey AS strategy_i
 def _(t):
     """All claims; both names are kept."""
     line = t("lineitem")
-    claims = line.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("claim_id"), F.col("l_partkey").alias("concept_id")).distinct()
-    return library.candidate_strategies(line.select(F.col("l_suppkey").alias("strategy_id"), F.col("l_partkey").alias("concept_id")).distinct(), claims)
+    claims = line.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("claim_id"), F.col("l_partkey").alias("concept_id"))
+    return library.candidate_strategies(line.select(F.col("l_suppkey").alias("strategy_id"), F.col("l_partkey").alias("concept_id")), claims)
 
 
 HEADINGS = (
