@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import __spark_entry__ as entry
 from tessera.operators import library
 from tessera.operators.packed import pack, unpack
 
@@ -56,3 +57,9 @@ def test_pairs_of_claims_and_strategies_are_not_shuffled(spark):
     left, right = (spark.range(300).selectExpr(f"id % 40 as {c}", "id % 7 as concept_id") for c in ("claim_id", "strategy_id"))
     plan = library.candidate_strategies(right, left)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*claim_id[^)]*strategy_id", plan) and "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["knw09_candidates", "knw09_candidates_of_all"])
+def test_candidate_queries_shuffle_no_pairs(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*claim_id[^)]*strategy_id", plan) and plan.count("held#") > 0
